@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import mixing
+from tickerloom.llm import mixing, secrets, transport
 
 
 def queries():
     return {
         "op7_mixing": mixing.op7_mixing,
+        "op8_transport": transport.op8_transport,
+        "op9_secrets": secrets.op9_secrets,
     }
 
 
