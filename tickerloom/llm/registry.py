@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import mixing, secrets, transport
+from tickerloom.llm import language, mixing, secrets, transport
 
 
 def queries():
     return {
+        "op3_language": language.op3_language,
         "op7_mixing": mixing.op7_mixing,
         "op8_transport": transport.op8_transport,
         "op9_secrets": secrets.op9_secrets,
