@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import language, mixing, secrets, transport
+from tickerloom.llm import language, mixing, secrets, quality, secrets, transport
 
 
 def queries():
     return {
         "op3_language": language.op3_language,
+        "op4_quality": quality.op4_quality,
         "op7_mixing": mixing.op7_mixing,
         "op8_transport": transport.op8_transport,
         "op9_secrets": secrets.op9_secrets,
