@@ -108,13 +108,16 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
 
 
 class Words:
-    """The words `[^\\x20\\x09-\\x0D]+` of a block of texts, A-Z lower-cased, each with a 64-bit hash."""
+    """The words `[^\\x20\\x09-\\x0D]+` of a block of texts, A-Z lower-cased, each with a 64-bit hash.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    `breaks` marks other bytes that end words.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE):
         offsets = offsets - offsets[0]
         n = len(data)
         self.n_docs = len(offsets) - 1
-        inside = ~_SPACE[data]
+        inside = ~breaks[data]
         before = np.zeros(n, bool)
         before[1:] = inside[:-1]
         edges = offsets[(offsets > 0) & (offsets < n)]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import language, mixing, secrets, quality, secrets, transport
+from tickerloom.llm import language, mixing, secrets, quality, secrets, toxicity, transport
 
 
 def queries():
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op3_language": language.op3_language,
         "op4_quality": quality.op4_quality,
         "op7_mixing": mixing.op7_mixing,
