@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import language, mixing, secrets, quality, secrets, toxicity, transport
+from tickerloom.llm import language, mixing, neardup, quality, secrets, toxicity, transport
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op7_mixing": mixing.op7_mixing,
         "op8_transport": transport.op8_transport,
         "op9_secrets": secrets.op9_secrets,
+        "op10_neardup": neardup.op10_neardup,
     }
 
 
