@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tickerloom.llm import language, mixing, neardup, quality, secrets, toxicity, transport
+from tickerloom.llm import language, mixing, nearest, neardup, packing, quality, secrets, toxicity, transport
 
 
 def queries():
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_nearest": nearest.op2_nearest,
         "op3_language": language.op3_language,
         "op4_quality": quality.op4_quality,
+        "op6_packing": packing.op6_packing,
         "op7_mixing": mixing.op7_mixing,
         "op8_transport": transport.op8_transport,
         "op9_secrets": secrets.op9_secrets,
