@@ -50,8 +50,11 @@ def _distinct(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, l
     return place, inverse, [raw[a:b] for a, b in zip(words.start[place].tolist(), ends.tolist(), strict=True)]
 
 
-def expressions(docs: DataFrame) -> DataFrame:
-    """Continuation counts of the whole corpus: gram binary, types (different expressions that begin with it)."""
+def expressions(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Continuation counts of the whole corpus: gram binary, types (different expressions that begin with it).
+
+    Only the grams in `kept` are counted; CUTOFF and the bounded sample they come from bound their number.
+    """
 
     def rows(batches):
         for batch in batches:
@@ -69,7 +72,8 @@ def expressions(docs: DataFrame) -> DataFrame:
 
     words = docs.select("text").mapInArrow(rows, "word binary").distinct()
     lengths = F.sequence(F.lit(1), F.least(F.lit(ORDER), F.octet_length("word")))
-    return words.select("word", F.explode(lengths).alias("n")).groupBy(F.expr("substring(word, 1, n)").alias("gram")).agg(F.count("*").alias("types"))
+    grams = words.select("word", F.explode(lengths).alias("n")).select(F.expr("substring(word, 1, n)").alias("gram"))
+    return grams.join(F.broadcast(kept), "gram").groupBy("gram").agg(F.count("*").alias("types"))
 
 
 def _draw(seed: int):
@@ -210,9 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return Model({}, np.zeros(0), share)
     sample = staged(labelled(docs, labels))
     counts = staged(class_counts(sample.filter(~F.col("apart"))))
-    # Of the continuation counts, those of the kept grams, whose number the bounded sample bounds.
-    shared = expressions(docs).join(F.broadcast(counts.select("gram")), "gram")
-    types = {bytes(row["gram"]): row["types"] for row in shared.collect()}
+    types = {bytes(row["gram"]): row["types"] for row in expressions(docs, counts.select("gram")).collect()}
     kept = sorted((bytes(row["gram"]), row["toxic"], row["ordinary"]) for row in counts.collect())
     model = Model(ratios(kept, types), np.zeros(0), share)
     apart = evidence(sample.filter("apart"), model, ["doc_id", "toxic"]).orderBy("doc_id", "toxic").toPandas()
