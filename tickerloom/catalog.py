@@ -121,21 +121,21 @@ def incremental_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("ordinal", "symbol", "price", "previous_price", "price_change", "percent_change")
 
 
-def feed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A response an event: every other one with a header, some fields missing."""
+def feed_responses(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
+    """A response an event: every other one with a header, some fields missing; `broken` spoils some prices and volumes."""
     rows = event_quotes(spark, sf_dir)
     n, price = F.col("ordinal"), F.col("price").cast("string")
-    close = F.when(F.col("event_type") == "error", "N/D").otherwise(price)
+    close = F.when(F.col("event_type") == "error", "N/D").when(F.lit(broken) & (n % 7 == 0), "").otherwise(price)
     first = F.when(n % 3 == 0, F.lit("N/D")).otherwise(price)
+    volume = F.when(F.lit(broken) & (n % 11 == 0), "4100000.0").when(n % 5 == 0, "").otherwise(n.cast("string"))
     market = F.concat(F.lit(" u"), F.col("symbol"), F.lit(".us"))
-    stamp = [F.date_format("fetched_at_utc", "yyyy-MM-dd"), F.date_format("fetched_at_utc", "HH:mm:ss")]
-    usual = F.concat_ws(",", market, *stamp, first, F.lit(""), price, F.concat(close, F.lit(" ")), F.when(n % 5 == 0, "").otherwise(n.cast("string")))
-    named = F.concat(
-        F.lit("Close,Volume,Symbol,Date,Time,Low,High,Open,Note\r\n"),
-        F.concat_ws(",", close, F.when(n % 5 == 0, "").otherwise(n.cast("string")), market, *stamp, price, F.lit(""), first, F.lit('"a, ""b"""')),
-    )
+    day, hour = F.date_format("fetched_at_utc", "yyyy-MM-dd"), F.date_format("fetched_at_utc", "HH:mm:ss")
+    usual = F.concat_ws(",", market, day, hour, first, F.lit(""), price, F.concat(close, F.lit(" ")), volume)
+    named = F.concat_ws(",", close, volume, market, day, hour, price, F.lit(""), first, F.lit('"a, ""b"""'))
+    named = F.concat(F.lit("Close,Volume,Symbol,Date,Time,Low,High,Open,Note\r\n"), named)
     asked = F.when(n % 4 < 2, F.array(F.lower(F.concat(F.lit("u"), "symbol")))).otherwise(F.array(F.concat(F.lit("U"), "symbol", F.lit(".US"))))
-    return rows.select(n.alias("response_id"), F.when(n % 2 == 0, named).otherwise(usual).alias("body"), asked.alias("requested"), "fetched_at_utc", F.lit("https://example.test/q").alias("source_url"))
+    body = F.when(n % 2 == 0, named).otherwise(usual)
+    return rows.select(n.alias("response_id"), body.alias("body"), asked.alias("requested"), "fetched_at_utc", F.lit("https://example.test/q").alias("source_url"))
 
 
 @query(f"""WITH {FEED}
@@ -154,11 +154,7 @@ def parse_quote_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
   ELSE 'ok' END AS status FROM events""")
 def quote_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status of each feed row: no data, no price, no number, or fine."""
-    rows = feed_responses(spark, sf_dir)
-    n = F.col("response_id")
-    body = F.when(n % 7 == 0, F.regexp_replace("body", r"(?<![-:0-9])[0-9]+[.][0-9]+(?= ?(,|\z|\r|\n))", "")).when((n % 11 == 0) & (n % 2 == 1), F.regexp_replace("body", r"[^,]*\z", "4100000.0"))
-    body = F.coalesce(body.when((n % 11 == 0) & (n % 2 == 0), F.regexp_replace("body", r'(\n[^,]*),[^,]*,', "$1,4100000.0,")).otherwise(F.col("body")), F.col("body"))
-    return feed.parse(rows.withColumn("body", body)).select("response_id", "status")
+    return feed.parse(feed_responses(spark, sf_dir, broken=True)).select("response_id", "status")
 
 
 @query("""WITH used AS (SELECT event_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS batch_id,
@@ -172,11 +168,12 @@ def batch_emptiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.emptiness(parsed, rows.select("response_id").distinct()).withColumnRenamed("response_id", "batch_id")
 
 
-@query("""SELECT c_custkey AS pos, 'C' || c_custkey AS symbol FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey AS pos, 'C' || c_custkey AS symbol FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
 def skipped_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requested symbols that got no quote: customers without an order."""
+    """Requested symbols that got no quote: customers without an urgent order."""
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit(" c"), F.col("c_custkey").cast("string")).alias("symbol"))
-    got = table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("symbol"))
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
+    got = urgent.select(F.concat(F.lit("C"), F.col("o_custkey").cast("string"), F.lit(" ")).alias("symbol"))
     return observe.skipped(asked, got)
 
 

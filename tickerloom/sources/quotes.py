@@ -50,23 +50,23 @@ def parse(responses: DataFrame) -> DataFrame:
         place = F.when(F.col("_named"), F.array_position("_head", name)).otherwise(F.lit(FEED_COLUMNS.index(name) + 1))
         return F.when(place > 0, F.try_element_at("_row", F.greatest(place, F.lit(1)).cast("int")))
 
-    rows = rows.select("response_id", "line", "requested", "fetched_at_utc", "source_url", *[field(n).alias(n) for n in FEED_COLUMNS])
-    market, close = text.folded(F.coalesce("Symbol", F.lit(""))), text.strip(F.coalesce("Close", F.lit("")))
+    rows = rows.select("response_id", "line", "requested", "fetched_at_utc", "source_url", *[field(n).alias(f"_raw_{n}") for n in FEED_COLUMNS])
+    market, close = text.folded(F.coalesce("_raw_Symbol", F.lit(""))), text.strip(F.coalesce("_raw_Close", F.lit("")))
     rows = rows.withColumns({"market_symbol": market, "_close": close})
     rows = rows.withColumns({
         "price": numbers.decimal(F.col("_close")),
-        "open": numbers.optional_decimal(F.col("Open")),
-        "high": numbers.optional_decimal(F.col("High")),
-        "low": numbers.optional_decimal(F.col("Low")),
-        "volume": numbers.optional_whole(F.col("Volume")),
+        "open": numbers.optional_decimal(F.col("_raw_Open")),
+        "high": numbers.optional_decimal(F.col("_raw_High")),
+        "low": numbers.optional_decimal(F.col("_raw_Low")),
+        "volume": numbers.optional_whole(F.col("_raw_Volume")),
     })
-    unread = [~numbers.missing(F.col(raw)) & F.col(name).isNull() for raw, name in (("Open", "open"), ("High", "high"), ("Low", "low"), ("Volume", "volume"))]
+    unread = [~numbers.missing(F.col(f"_raw_{raw}")) & F.col(name).isNull() for raw, name in (("Open", "open"), ("High", "high"), ("Low", "low"), ("Volume", "volume"))]
     bad_number = unread[0] | unread[1] | unread[2] | unread[3]
     status = F.when(F.col("_close") == "N/D", "no_data").when(F.col("price").isNull(), "bad_price").when(bad_number, "bad_number").otherwise("ok")
     return rows.select(
         "response_id", "line", status.alias("status"), "fetched_at_utc",
         alias(F.col("market_symbol"), F.col("requested")).alias("symbol"), "market_symbol", "price", F.lit(CURRENCY).alias("currency"),
-        F.coalesce("Date", F.lit("")).alias("quote_date"), F.coalesce("Time", F.lit("")).alias("quote_time"),
+        F.coalesce("_raw_Date", F.lit("")).alias("quote_date"), F.coalesce("_raw_Time", F.lit("")).alias("quote_time"),
         "open", "high", "low", "volume", F.lit(SOURCE).alias("source"), "source_url",
     )
 
