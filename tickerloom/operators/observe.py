@@ -39,10 +39,11 @@ def replay(quotes: DataFrame) -> DataFrame:
     back can be split where a key is hot.
     """
     keyed = quotes.withColumn("_key", text.folded(F.col("symbol")))
-    closing = keyed.filter("_key != '' AND price IS NOT NULL").groupBy("_key", "batch_id").agg(F.max_by("price", "ordinal").alias("_last"))
-    # A batch in which a symbol has no price of its own still sees the price from before.
-    before = Window.partitionBy("_key").orderBy("batch_id")
-    closing = closing.select("_key", "batch_id", F.lag("_last").over(before).alias("previous_price"))
+    priced = F.when(F.col("price").isNotNull(), F.col("ordinal"))
+    closing = keyed.filter("_key != ''").groupBy("_key", "batch_id").agg(F.max_by("price", priced).alias("_last"))
+    # A batch in which a symbol has no price is passed over.
+    before = Window.partitionBy("_key").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    closing = closing.select("_key", "batch_id", F.last("_last", ignorenulls=True).over(before).alias("previous_price"))
     # The quote's own symbol is not folded: only one that already is can have a previous price.
     closing = closing.withColumnsRenamed({"_key": "_k", "batch_id": "_b"})
     same = (keyed["symbol"] == closing["_k"]) & (keyed["batch_id"] == closing["_b"])

@@ -29,7 +29,7 @@ def fields(line: Column) -> Column:
 def alias(market: Column, requested: Column) -> Column:
     """The last requested symbol whose market symbol is `market`, folded; else market less `.US`."""
     asked = F.filter(requested, lambda symbol: text.market_symbol(symbol) == market)
-    found = F.when(F.size(asked) > 0, text.folded(F.element_at(asked, -1)))
+    found = F.when(F.size(asked) > 0, text.folded(F.try_element_at(asked, F.lit(-1))))
     return F.coalesce(found, text.without_us(market))
 
 
@@ -40,7 +40,7 @@ def parse(responses: DataFrame) -> DataFrame:
     A first line with a field `Symbol` is a header and binds columns by name; without one all lines are data in the usual order.
     """
     rows = responses.withColumn("_lines", text.lines(F.col("body")))
-    rows = rows.withColumn("_head", fields(F.element_at("_lines", 1)))
+    rows = rows.withColumn("_head", fields(F.try_element_at("_lines", F.lit(1))))
     rows = rows.withColumn("_named", F.coalesce(F.array_contains("_head", "Symbol"), F.lit(False)))
     data = F.when(F.col("_named"), F.slice("_lines", 2, 1 << 30)).otherwise(F.col("_lines"))
     keep = ["response_id", "requested", "fetched_at_utc", "source_url", "_head", "_named"]
