@@ -5,9 +5,10 @@ A text's set holds its distinct shingles of `words` words (all words as one shin
 evaluations a shingle are banded; texts that share a band are candidates and every link is confirmed on the full sets.
 
 No group is ever paired with itself in whole.  Equal sets count once (a class).  In a band's group every class is compared with the group's
-most popular class, the one whose other bands meet most company; that joins a large group of near copies at one comparison each.  After a few such rounds,
-in which the next leader comes from outside the largest component, the classes still apart from others of their group are compared with
-those others, screened by their signatures, so that no link between components is lost.
+most popular class, the one whose other bands meet most company; that joins most of a large group of near copies at one comparison each.
+The classes of a group that this leaves outside its largest component are then held against the group's other classes, in blocks
+of `BLOCK`, on their full sets; a block gives out one link for each component that a class reaches, so no link between components is lost and no list
+of pairs is made.
 
 The chance that linked sets share no band is (1 - J**ROWS)**BANDS, 8 in 100,000 at J = 0.85 and less above.
 
@@ -28,10 +29,8 @@ from tickerloom.llm.common import mix, read, staged, words_of
 
 BANDS, ROWS = 20, 6
 PERMUTATIONS = BANDS * ROWS // 2
-#: Rounds of one comparison with a leader before the exact rest.
-STAR_ROUNDS = 3
-#: The rest is screened: a link with so many standard errors less than its similarity in the signatures is given up (1 in 10**9).
-SCREEN_ERRORS = 6.0
+#: Classes of a group, and of those outside its largest component, that are held against one another in one block.
+BLOCK = 512
 
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -76,8 +75,20 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def class_names(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """16 bytes for each set, equal for equal sets (zero for empty ones)."""
+    n = np.diff(first)
+    full = np.flatnonzero(n)
+    out = np.zeros((len(n), 2), np.uint64)
+    if len(full):
+        with np.errstate(over="ignore"):
+            out[full, 0] = mix(np.add.reduceat(mix(h), first[:-1][full]) + n[full].astype(np.uint64))
+            out[full, 1] = mix(np.add.reduceat(mix(h * _STEPS[9] + _STEPS[10]), first[:-1][full]) + n[full].astype(np.uint64))
+    return out
+
+
 def signed(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, class binary (16 bytes that stand for the set), bands array<long>, sketch binary of every document."""
+    """doc_id, n, class binary (16 bytes that stand for the set), bands array<long> of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches):
@@ -85,16 +96,12 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
             for a, b, h, first in shingle_sets(batch.column(1), words):
                 n = np.diff(first)
                 full = np.flatnonzero(n)
-                classes = np.zeros((b - a, 2), np.uint64)
+                classes = class_names(h, first)
                 bands = np.zeros((b - a, BANDS), np.uint64)
-                sketch = np.zeros((b - a, 2 * PERMUTATIONS), np.uint8)
                 if len(full):
                     places = np.append(first[:-1][full], first[-1])
                     with np.errstate(over="ignore"):
-                        classes[full, 0] = mix(np.add.reduceat(mix(h), places[:-1]) + n[full].astype(np.uint64))
-                        classes[full, 1] = mix(np.add.reduceat(mix(h * _STEPS[9] + _STEPS[10]), places[:-1]) + n[full].astype(np.uint64))
                         values = signatures(h, places)
-                        sketch[full] = (mix(values) & np.uint64(255)).astype(np.uint8)
                         key = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
                         for r in range(ROWS):
                             # A band takes its values from permutations of its own, half of them least, half greatest.
@@ -102,22 +109,29 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                         bands[full] = key
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array([c.tobytes() for c in classes], pa.binary()), bands, pa.array([s.tobytes() for s in sketch], pa.binary())],
-                    ["doc_id", "n", "class", "bands", "sketch"],
+                    [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array([c.tobytes() for c in classes], pa.binary()), bands],
+                    ["doc_id", "n", "class", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n long, class binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n long, class binary, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are linked; texts: class, text of one document each."""
+def sets_of(docs: DataFrame, words: int) -> DataFrame:
+    """class, shingles (sorted 64-bit hashes, packed) of the texts of docs."""
 
     def sets(batches):
         for batch in batches:
-            for a, b, h, first in shingle_sets(batch.column(1), words):
+            for _, _, h, first in shingle_sets(batch.column(0), words):
                 raw = h.tobytes()
                 packed = [raw[8 * s : 8 * e] for s, e in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], ["class", "shingles"])
+                names = [c.tobytes() for c in class_names(h, first)]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(packed, pa.binary())], ["class", "shingles"])
+
+    return docs.select("text").mapInArrow(sets, "class binary, shingles binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are linked."""
 
     def check(batches):
         for batch in batches:
@@ -129,14 +143,78 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 keep.append(100 * common >= percent * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    asked = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    full = staged(texts.join(asked, "class", "left_semi").select("class", "text").mapInArrow(sets, "class binary, shingles binary"))
-    left = full.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    right = full.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     joined = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(check, "a binary, b binary")
 
 
+def block_links(asked: list[tuple], members: list[tuple], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between classes of different components, one for each asked class and component it reaches.
+
+    Rows are (class, component, shingles); an asked class marks its shingles and all members count theirs among them at once.
+    """
+    sets = [np.frombuffer(m[2], np.uint64) for m in members]
+    sizes = np.array([len(s) for s in sets])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    names = {c: k for k, c in enumerate(dict.fromkeys(m[1] for m in members))}
+    component = np.array([names[m[1]] for m in members])
+    out = []
+    for name, own, packed in asked:
+        x = np.frombuffer(packed, np.uint64)
+        mark = np.zeros(len(known), np.int64)
+        at = np.searchsorted(known, x)
+        hit = at < len(known)
+        hit[hit] = known[at[hit]] == x[hit]
+        mark[at[hit]] = 1
+        common = np.add.reduceat(mark[flat], first)
+        linked = (100 * common >= percent * (len(x) + sizes - common)) & (component != names.get(own, -1))
+        _, places = np.unique(component[linked], return_index=True)
+        out += [(name, members[k][0]) for k in np.flatnonzero(linked)[places]]
+    return out
+
+
+def rest_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a band's group: classes outside the group's largest component against all its others."""
+    now = groups.select("key", "class").join(labels, "class")
+    sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
+    parts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("whole"), F.max(F.struct("size", "component")).alias("largest"))
+    parts = parts.filter("parts > 1").select("key", "whole", (F.col("whole") - F.col("largest.size")).alias("outside"), F.col("largest.component").alias("largest"))
+    mixed = now.join(parts, "key").withColumn("blocks", F.ceil(F.col("whole") / BLOCK)).withColumn("chunks", F.ceil(F.col("outside") / BLOCK))
+    mixed = staged(mixed.select("key", "class", "component", (F.col("component") != F.col("largest")).alias("asked"), "blocks", "chunks"))
+    block, chunk = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")), F.pmod(F.xxhash64("class", F.lit(2)), F.col("chunks"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    members = mixed.select("key", "class", "component", F.lit(1).alias("side"), block.alias("block"), F.explode(every).alias("chunk"))
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    asked = mixed.filter("asked").select("key", "class", "component", F.lit(0).alias("side"), F.explode(every).alias("block"), chunk.alias("chunk"))
+    rows = members.unionByName(asked).join(sets, "class")
+    rows = rows.select("key", "block", "chunk", "side", "class", "component", "shingles")
+    rows = rows.repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk", "side", "class")
+
+    def compare(batches):
+        at, two = None, ([], [])
+
+        def done():
+            found = block_links(*two, percent) if two[0] and two[1] else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+        for batch in batches:
+            # A few rows at once, as sets can be long.
+            for step in range(0, batch.num_rows, 512):
+                columns = [c.to_pylist() for c in batch.slice(step, 512).columns]
+                for row in zip(*columns, strict=True):
+                    if at != row[:3]:
+                        if at is not None:
+                            yield done()
+                        at, two = row[:3], ([], [])
+                    two[row[3]].append(row[4:])
+        if at is not None:
+            yield done()
+
+    return rows.mapInArrow(compare, "a binary, b binary").distinct()
+
+
 def connect(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (class, component) with the components that edges (a, b) join: each takes the least class in it.
 
@@ -189,61 +267,21 @@ def classes_of(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[Data
     popular = keys.groupBy("class").agg(F.sum("size").alias("popularity"))
     groups = staged(keys.join(popular, "class").select("key", "class", "n", "popularity"))
     labels = staged(popular.select("class", F.col("class").alias("component")))
-    texts = reps.select("class", "doc_id").join(popular.select("class"), "class", "left_semi")
-    texts = staged(docs.select("doc_id", "text").join(texts, "doc_id").dropDuplicates(["class"]).select("class", "text"))
-    close = F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent
-
-    for turn in range(STAR_ROUNDS):
-        now = groups.join(labels, "class")
-        if turn:
-            # The leader is the most popular class outside its group's largest component.
-            sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"), F.max(F.struct("popularity", "n", "class")).alias("best"))
-            parts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("largest")).filter("parts > 1")
-            lead = sizes.join(parts, "key").filter(F.col("component") != F.col("largest.component"))
-            lead = lead.groupBy("key").agg(F.max("best").alias("best"))
-        else:
-            lead = now.groupBy("key").agg(F.max(F.struct("popularity", "n", "class")).alias("best"))
-        lead = lead.select("key", F.col("best.class").alias("leader"), F.col("best.n").alias("ln"))
-        lead = lead.join(labels.withColumnsRenamed({"class": "leader", "component": "lead_component"}), "leader")
-        pairs = now.join(lead, "key").filter(close & (F.col("component") != F.col("lead_component")))
-        pairs = staged(pairs.select(F.least("class", "leader").alias("a"), F.greatest("class", "leader").alias("b")).distinct())
-        if pairs.isEmpty():
-            break
-        labels = connect(labels, confirmed(pairs, texts, words, percent))
+    # A doc_id may come with several texts: sets are told apart by the class they make.
+    wanted = reps.select("class", "doc_id").join(popular.select("class"), "class", "left_semi")
+    sets = sets_of(docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), words)
+    sets = staged(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
 
-    # The exact rest: in each group, classes outside its largest component against all others not yet joined with them.
-    now = groups.join(labels, "class")
-    sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
-    parts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("size", "component")).alias("largest")).filter("parts > 1")
-    mixed = staged(now.join(parts.select("key", F.col("largest.component").alias("largest")), "key"))
-    some = mixed.filter(F.col("component") != F.col("largest")).select("key", F.col("class").alias("c1"), F.col("n").alias("n1"), F.col("component").alias("k1"))
-    rest = mixed.select("key", F.col("class").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("k2"), (F.col("component") == F.col("largest")).alias("large"))
-    near = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    pairs = some.join(rest, (some["key"] == rest["key"]) & (F.col("k1") != F.col("k2")) & (F.col("large") | (F.col("c1") < F.col("c2"))) & near)
-    pairs = pairs.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
-    pairs = staged(screened(pairs, reps.select("class", "sketch"), percent))
-    if not pairs.isEmpty():
-        labels = connect(labels, confirmed(pairs, texts, words, percent))
+    lead = groups.groupBy("key").agg(F.max(F.struct("popularity", "n", "class")).alias("best"))
+    lead = lead.select("key", F.col("best.class").alias("leader"), F.col("best.n").alias("ln"))
+    close = F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent
+    pairs = groups.join(lead, "key").filter(close & (F.col("class") != F.col("leader")))
+    pairs = staged(pairs.select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct())
+    labels = connect(labels, confirmed(pairs, sets, percent))
+    labels = connect(labels, rest_links(groups, labels, sets, percent))
     return sign.select("doc_id", "n", "class"), labels
 
 
-def screened(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """pairs whose signatures agree as often as linked sets' do, within SCREEN_ERRORS standard errors."""
-    j = percent / 100
-    least = j - SCREEN_ERRORS * (j * (1 - j) / (2 * PERMUTATIONS)) ** 0.5
-
-    def check(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                keep = (x == y).mean(axis=1) >= least
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    left = sketches.withColumnsRenamed({"class": "a", "sketch": "sa"})
-    right = sketches.withColumnsRenamed({"class": "b", "sketch": "sb"})
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
-
-
 def components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sign, labels = classes_of(docs, words, percent)
