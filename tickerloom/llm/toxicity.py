@@ -16,6 +16,7 @@ classes every score is the share of toxic labels known (0 if none); repeated row
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -214,10 +215,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         return Model({}, np.zeros(0), share)
     sample = staged(labelled(docs, labels))
     counts = staged(class_counts(sample.filter(~F.col("apart"))))
-    types = {bytes(row["gram"]): row["types"] for row in expressions(docs, counts.select("gram")).collect()}
-    kept = sorted((bytes(row["gram"]), row["toxic"], row["ordinary"]) for row in counts.collect())
+    found = expressions(docs, counts.select("gram")).toArrow()
+    types = dict(zip(found["gram"].to_pylist(), found["types"].to_pylist(), strict=True))
+    found = counts.toArrow()
+    kept = sorted(zip(*(found[c].to_pylist() for c in ("gram", "toxic", "ordinary")), strict=True))
+    del found
     model = Model(ratios(kept, types), np.zeros(0), share)
-    apart = evidence(sample.filter("apart"), model, ["doc_id", "toxic"]).orderBy("doc_id", "toxic").toPandas()
+    scored = staged(evidence(sample, model, ["doc_id", "toxic", "apart"])).orderBy("doc_id", "toxic").toPandas()
+    apart = scored[scored["apart"]]
+    if apart["toxic"].nunique() < 2:  # too few rows to keep some apart
+        apart = scored
     y = apart["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         # The sample has other shares of the classes than the labels; weights restore them.
@@ -232,28 +239,26 @@ def _shipped(docs: DataFrame, model: Model):
     return docs.sparkSession.sparkContext.broadcast((grams, np.array([model.ratio[g] for g in grams], np.float32), model.coefficients, model.share))
 
 
+#: The model a worker used last, by the name its broadcast was given.
 _loaded: dict[str, Model] = {}
 
 
-def _load(shipped) -> Model:
-    key = str(shipped.id) if hasattr(shipped, "id") else str(id(shipped))
-    if key not in _loaded:
+def _load(name: str, shipped) -> Model:
+    if name not in _loaded:
         grams, values, coefficients, share = shipped.value
         _loaded.clear()
-        _loaded[key] = Model(dict(zip(grams, values.tolist(), strict=True)), coefficients, share)
-        if hasattr(shipped, "unpersist_local"):
-            shipped.unpersist_local()
-    return _loaded[key]
+        _loaded[name] = Model(dict(zip(grams, values.tolist(), strict=True)), coefficients, share)
+    return _loaded[name]
 
 
 def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, score, and evidence as an array."""
-    shipped = _shipped(docs, model)
+    shipped, name = _shipped(docs, model), uuid.uuid4().hex
 
     def rows(batches):
         local = None
         for batch in batches:
-            local = local or _load(shipped)
+            local = local or _load(name, shipped)
             found = local.evidence(batch.column(batch.num_columns - 1))
             values = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(local.score(found)), values], [*keep, "score", "evidence"])
