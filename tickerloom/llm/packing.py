@@ -37,7 +37,7 @@ def curve_keys(column: pa.Array) -> np.ndarray:
         h = mix(words.hash)
         bucket = words.doc * BUCKETS + (h & np.uint64(BUCKETS - 1)).astype(np.int64)
         sign = ((h >> np.uint64(20)) & np.uint64(1)).astype(float) * 2 - 1
-        x = np.bincount(bucket, sign, (b - a) * BUCKETS).reshape(b - a, BUCKETS)
+        x = np.bincount(bucket, sign, (b - a) * BUCKETS).astype(float).reshape(b - a, BUCKETS)
         x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
         cells = ((np.tanh(x @ _PROJECT / 2) + 1) / 2 * (1 << BITS)).astype(np.int64)
         out[a:b] = hilbert(np.minimum(cells, (1 << BITS) - 1), BITS)
