@@ -194,17 +194,18 @@ def demux(stream: bytes) -> Demuxed:
                 out.streams.setdefault(at, Stream(at, data[k]))
                 k += 5 + (int.from_bytes(data[k + 3 : k + 5], "big") & 0x0FFF)
 
-    at, size = 0, len(stream)
+    at, size, locked = 0, len(stream), False
     while at + PACKET <= size:
-        if stream[at] != SYNC or at + PACKET < size and stream[at + PACKET] != SYNC:
+        if stream[at] != SYNC or not locked and at + PACKET < size and stream[at + PACKET] != SYNC:
             # Lost: go on at the next place that looks like a packet followed by another (or by the end).
+            locked = False
             ahead = stream.find(b"\x47", at + 1)
             ahead = size if ahead < 0 else ahead
             out.skipped_bytes += ahead - at
             at = ahead
             continue
         flags, pid, control = stream[at + 1], (stream[at + 1] & 31) << 8 | stream[at + 2], stream[at + 3]
-        place, at = at, at + PACKET
+        place, at, locked = at, at + PACKET, True
         out.packets += 1
         if flags & 0x80:
             continue
