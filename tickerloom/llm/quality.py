@@ -215,8 +215,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Network | None:
     return _train(p, u, estimate_prior(p, u), EPOCHS, 7)
 
 
-def score(docs: DataFrame, model: Network | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, score and predicted."""
+def _scored(docs: DataFrame, model: Network | None, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs as c0, c1, ... (docs may have columns of any name), score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def rows(batches):
@@ -228,16 +228,22 @@ def score(docs: DataFrame, model: Network | None, keep: list[str]) -> DataFrame:
 
     given = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = given.mapInArrow(rows, f"{kinds}, score double, predicted int")
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "score", "predicted")
+    return given.mapInArrow(rows, f"{kinds}, score double, predicted int")
+
+
+def score(docs: DataFrame, model: Network | None, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs, score and predicted."""
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(keep)]
+    return _scored(docs, model, keep).select(*names, "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts."""
-    return score(docs, learn(docs, labels), docs.columns).filter("predicted = 1").select(*docs.columns)
+    """The rows of docs that the classifier accepts, in the columns of docs."""
+    names = [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return _scored(docs, learn(docs, labels), docs.columns).filter("predicted = 1").select(*names)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = score(docs, learn(docs, read(spark, sf_dir, "labels")), ["doc_id", "text"])
+    scored = score(docs, learn(docs, read(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
