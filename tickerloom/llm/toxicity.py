@@ -31,6 +31,8 @@ TOXIC, ORDINARY = 12_000, 16_000
 #: Bytes of history at most, and the least tokens (of both classes) of a history that is kept.
 ORDER = 10
 CUTOFF = 4
+#: Grams a model keeps at most: where more reach CUTOFF, the cutoff rises until they fit.
+GRAMS = 1 << 20
 #: Share of the labelled sample that calibrates instead of counting.
 APART = 4
 THRESHOLD = 0.7
@@ -92,7 +94,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """gram binary, toxic and ordinary tokens that begin with it, where both together reach CUTOFF."""
+    """gram binary, toxic and ordinary tokens that begin with it, where both together reach CUTOFF (or a higher cutoff, for GRAMS)."""
 
     def rows(batches):
         for batch in batches:
@@ -110,7 +112,15 @@ def class_counts(sample: DataFrame) -> DataFrame:
     found = found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     lengths = F.sequence(F.lit(1), F.octet_length("word"))
     grams = found.select("word", "toxic", "ordinary", F.explode(lengths).alias("n")).groupBy(F.expr("substring(word, 1, n)").alias("gram"))
-    return grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(F.col("toxic") + F.col("ordinary") >= CUTOFF)
+    counted = staged(grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(F.col("toxic") + F.col("ordinary") >= CUTOFF))
+    together = F.least(F.col("toxic") + F.col("ordinary"), F.lit(1 << 16))
+    steps = sorted(counted.groupBy(together.alias("n")).count().collect(), reverse=True)
+    kept, cutoff = 0, 1 << 16
+    for n, count in steps:
+        if kept + count > GRAMS:
+            break
+        kept, cutoff = kept + count, n
+    return counted.filter(F.col("toxic") + F.col("ordinary") >= cutoff)
 
 
 @dataclass
@@ -214,17 +224,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if not toxic or toxic == n:
         return Model({}, np.zeros(0), share)
     sample = staged(labelled(docs, labels))
-    counts = staged(class_counts(sample.filter(~F.col("apart"))))
+    counts = class_counts(sample.filter(~F.col("apart")))
     found = expressions(docs, counts.select("gram")).toArrow()
     types = dict(zip(found["gram"].to_pylist(), found["types"].to_pylist(), strict=True))
     found = counts.toArrow()
     kept = sorted(zip(*(found[c].to_pylist() for c in ("gram", "toxic", "ordinary")), strict=True))
     del found
     model = Model(ratios(kept, types), np.zeros(0), share)
-    scored = staged(evidence(sample, model, ["doc_id", "toxic", "apart"])).orderBy("doc_id", "toxic").toPandas()
-    apart = scored[scored["apart"]]
-    if apart["toxic"].nunique() < 2:  # too few rows to keep some apart
-        apart = scored
+    held = sample.filter("apart")
+    if held.select("toxic").distinct().count() < 2:  # too few rows to keep some apart
+        held = sample
+    apart = evidence(held, model, ["doc_id", "toxic"]).orderBy("doc_id", "toxic").toPandas()
     y = apart["toxic"].to_numpy(float)
     if 0 < y.sum() < len(y):
         # The sample has other shares of the classes than the labels; weights restore them.
