@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import documents, empty, odd, words
 
 import corpus_pipeline
-from tickerloom.llm import nearest, neardup, wrapper
+from tickerloom.llm import common, nearest, neardup, wrapper
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,6 +87,20 @@ def test_query_over_the_table(spark):
     assert {r.doc_id: r.component_id for r in neardup.op10_neardup(spark, SF).collect()} == want
 
 
+def test_banding_keeps_the_chance_of_a_miss_small():
+    assert neardup.banding(85) == (20, 6) and neardup.banding(80) == (24, 5)
+    for percent in range(30, 101):
+        bands, rows = neardup.banding(percent)
+        assert bands * rows <= 2 * neardup.PERMUTATIONS and (1 - (percent / 100) ** rows) ** bands <= neardup.MISS
+
+
+def test_sweep(spark):
+    kept = common.staged(spark.range(3))
+    assert kept.count() == 3
+    common.sweep(spark)
+    assert not common._stages and spark.range(1).count() == 1
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     values = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))

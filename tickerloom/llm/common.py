@@ -42,6 +42,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths that staged has written for this driver.
+_stages: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all staged tables of this driver; results that were not written elsewhere are lost."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _stages:
+        path = jvm.org.apache.hadoop.fs.Path(_stages.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write df to a Parquet table in the shared folder and read it back: lineage ends here.
 
@@ -49,6 +61,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    _stages.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

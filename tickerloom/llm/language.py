@@ -23,6 +23,8 @@ from tickerloom.llm.common import held_out, read
 
 #: Bounds of the training sample: texts a language (expected number of a seeded draw), bytes of a text, bytes of a dictionary.
 TEXTS, PIECE, DICTIONARY = 400, 1000, 110_000
+#: Languages learned at most: the most frequent ones.
+LANGUAGES = 200
 BLOCK = 4096
 #: Levels of zstandard, of texts up to SHORT bytes in the second place.
 LEVELS, SHORT_LEVELS, SHORT = (6,), (3, 12), 160
@@ -41,7 +43,8 @@ def folded(text: str) -> bytes:
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary for each lang of the training rows, most frequent languages first."""
     rows = docs.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = sorted(((r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()), key=lambda r: (-r[1], r[0]))
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = [(row["lang"], row["count"]) for row in frequent]
     if not counts:
         return {}
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(17)), F.lit(1 << 30))

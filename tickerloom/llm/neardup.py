@@ -10,7 +10,8 @@ The classes of a group that this leaves outside its largest component are then h
 of `BLOCK`, on their full sets; a block gives out one link for each component that a class reaches, so no link between components is lost and no list
 of pairs is made.
 
-The chance that linked sets share no band is (1 - J**ROWS)**BANDS, 8 in 100,000 at J = 0.85 and less above.
+The values are banded so that sets linked at just the threshold J share no band with a chance of at most `MISS`: (1 - J**rows)**bands, 8 in 100,000
+for 20 bands of 6 at 0.85, 7 in 100,000 for 24 bands of 5 at 0.8, and less above the threshold.
 
 Edge cases: null, empty and blank texts have an empty set, are linked with nothing and are kept; a null doc_id takes no part, its component is
 null and it is kept; repeated rows are exact copies of one another and stay rows in `components`; ties go to the smallest doc_id;
@@ -27,8 +28,8 @@ from pyspark.sql.window import Window
 
 from tickerloom.llm.common import mix, read, staged, words_of
 
-BANDS, ROWS = 20, 6
-PERMUTATIONS = BANDS * ROWS // 2
+PERMUTATIONS = 60
+MISS = 1e-4
 #: Classes of a group, and of those outside its largest component, that are held against one another in one block.
 BLOCK = 512
 
@@ -87,9 +88,19 @@ def class_names(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def signed(docs: DataFrame, words: int) -> DataFrame:
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, values a band): as many values a band as MISS allows at the threshold."""
+    for rows in range(2 * PERMUTATIONS, 1, -1):
+        bands = 2 * PERMUTATIONS // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISS:
+            return bands, rows
+    return 2 * PERMUTATIONS, 1
+
+
+def signed(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, class binary (16 bytes that stand for the set), bands array<long> of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    n_bands, width = banding(percent)
 
     def rows(batches):
         for batch in batches:
@@ -97,17 +108,16 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                 n = np.diff(first)
                 full = np.flatnonzero(n)
                 classes = class_names(h, first)
-                bands = np.zeros((b - a, BANDS), np.uint64)
+                bands = np.zeros((b - a, n_bands), np.uint64)
                 if len(full):
-                    places = np.append(first[:-1][full], first[-1])
+                    values = signatures(h, np.append(first[:-1][full], first[-1]))[:, : n_bands * width].reshape(len(full), n_bands, width)
                     with np.errstate(over="ignore"):
-                        values = signatures(h, places)
-                        key = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                        for r in range(ROWS):
-                            # A band takes its values from permutations of its own, half of them least, half greatest.
-                            key = mix(key * _STEPS[20 + r] + values.reshape(len(full), BANDS, ROWS)[:, :, r])
-                        bands[full] = key
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+                        key = np.zeros((len(full), n_bands), np.uint64) + np.arange(n_bands, dtype=np.uint64)
+                        for r in range(width):
+                            # Neighbouring values are the least and the greatest of one permutation.
+                            key = mix(key * _STEPS[20 + r % 40] + values[:, :, r])
+                    bands[full] = key
+                bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), n_bands).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array([c.tobytes() for c in classes], pa.binary()), bands],
                     ["doc_id", "n", "class", "bands"],
@@ -255,7 +265,7 @@ def connect(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 def classes_of(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, class) of every document, and (class, component) of every class linked with another."""
-    sign = staged(signed(docs, words))
+    sign = staged(signed(docs, words, percent))
     full = sign.filter("n > 0 and doc_id is not null")
     # One document stands for its class.
     chosen = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
