@@ -319,3 +319,22 @@ def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(read(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle, compared, and what is reachable.
+SQL = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM split
+), single AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM single a JOIN single b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT x, y FROM common JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)
+), both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reached AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, b.y FROM reached r JOIN both_ways b ON r.other = b.x
+), least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept FROM sets s JOIN least l USING (doc_id)
+"""

@@ -166,7 +166,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFra
                 limit = np.partition(rough, k - 1)[k - 1]
                 near = near[rough <= limit + 1e-9 * (1 + abs(limit) + norms[w][near].max() + q @ q)]
             d = m[near] - q
-            d = np.sqrt((d * d).sum(1))
+            # Squares add up in the order of the components, as written down; sum() would pair them.
+            d = np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
             found = ids[rows[near]]
             order = np.lexsort((found, d))
             order = order[: k if len(np.unique(found)) == len(found) else len(order)]
@@ -187,3 +188,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFra
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+#: Every pair, compared: what the search finds where its windows meet all rows.
+SQL = f"""
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), measured AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    min(sqrt(list_reduce(list_transform(list_zip(c.v, q.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda a, x: a + x))) AS score
+  FROM valid q JOIN valid c ON q.vec_id % {QUERY_EVERY} = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v) GROUP BY ALL
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM measured)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {NEIGHBOURS}
+"""
