@@ -87,3 +87,5 @@ def test_summary_lines(spark):
 def test_replay_plan_shuffles_a_symbol_in_parts(spark):
     plan = observe.replay(frame(spark, [("A", 1, 1, "1")]))._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
+    plan = observe.latest(frame(spark, [("A", 1, 1, "1")]))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

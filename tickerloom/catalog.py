@@ -115,9 +115,9 @@ SELECT ordinal, symbol, price, previous_price, CAST(price - previous_price AS DE
 def incremental_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last batch against the store as it was before: what a run does."""
     rows = event_quotes(spark, sf_dir)
-    last = rows.agg(F.max("batch_id").alias("_last"))
-    marked = rows.crossJoin(F.broadcast(last))  # one row
-    seen = observe.observe(marked.filter("batch_id = _last"), observe.latest(marked.filter("batch_id < _last")))
+    # A run knows its batch; here it is the last one.
+    last = rows.agg(F.max("batch_id")).first()[0]
+    seen = observe.observe(rows.filter(F.col("batch_id") == last), observe.latest(rows.filter(F.col("batch_id") < last)))
     return seen.select("ordinal", "symbol", "price", "previous_price", "price_change", "percent_change")
 
 

@@ -5,18 +5,25 @@ Order is `batch_id`, then `ordinal`; time stamps order nothing.  Quotes of one b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickerloom.functions import numbers, text
 
 
+def in_order(first: Column, then: Column) -> Column:
+    """One number that orders by two whole ones (the first below 10**18): unlike a struct, it lets a hash aggregate find the last row."""
+    return first.cast("decimal(18,0)") * F.lit(Decimal(10**19)) + then.cast("decimal(19,0)")
+
+
 def latest(history: DataFrame) -> DataFrame:
     """symbol_key, price: the last saved price of each folded symbol; rows without symbol or price do not count."""
     rows = history.select(text.folded(F.col("symbol")).alias("symbol_key"), "price", "batch_id", "ordinal")
     rows = rows.filter("symbol_key != '' AND price IS NOT NULL")
-    return rows.groupBy("symbol_key").agg(F.max_by("price", F.struct("batch_id", "ordinal")).alias("price"))
+    return rows.groupBy("symbol_key").agg(F.max_by("price", in_order(F.col("batch_id"), F.col("ordinal"))).alias("price"))
 
 
 def compared(quotes: DataFrame) -> DataFrame:
@@ -64,6 +71,7 @@ def first_seen(rows: DataFrame, key: str, pos: str) -> DataFrame:
 
 def largest_moves(observations: DataFrame) -> DataFrame:
     """batch_id, symbol, percent_change with the largest move of each batch; ties to the smallest ordinal."""
-    moved = observations.filter("percent_change IS NOT NULL")
-    best = F.max_by(F.struct("symbol", "percent_change"), F.struct(F.abs("percent_change"), -F.col("ordinal"))).alias("best")
-    return moved.groupBy("batch_id").agg(best).select("batch_id", "best.symbol", "best.percent_change")
+    size = F.abs("percent_change") * 100
+    moved = observations.filter("percent_change IS NOT NULL").withColumn("_place", in_order(size, -F.col("ordinal")))
+    best = moved.groupBy("batch_id").agg(F.max("_place").alias("_place"))
+    return moved.join(best, ["batch_id", "_place"]).select("batch_id", "symbol", "percent_change")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickerloom.operators import store
+from tickerloom.operators.observe import in_order
 
 
 def collect_stream(quotes: DataFrame, path: str, checkpoint: str, order: str = "ordinal", **trigger) -> StreamingQuery:
@@ -23,6 +24,6 @@ def windowed(quotes: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
     """symbol, start, quotes, low, high, last of tumbling windows; quotes later than `late` are left out."""
     stamped = quotes.withColumn("fetched_at_utc", F.col("fetched_at_utc").cast("timestamp")).withWatermark("fetched_at_utc", late)
     rows = stamped.groupBy("symbol", F.window("fetched_at_utc", size).alias("w")).agg(
-        F.count("*").alias("quotes"), F.min("price").alias("low"), F.max("price").alias("high"), F.max_by("price", F.struct("fetched_at_utc", "ordinal")).alias("last")
+        F.count("*").alias("quotes"), F.min("price").alias("low"), F.max("price").alias("high"), F.max_by("price", in_order(F.unix_micros("fetched_at_utc"), F.col("ordinal"))).alias("last")
     )
     return rows.select("symbol", F.col("w.start").alias("start"), "quotes", "low", "high", "last")
