@@ -15,6 +15,7 @@ from tickerloom.functions import numbers, text
 from tickerloom.operators import observe, report, store
 from tickerloom.plans import symbols as plans
 from tickerloom.schema import CURRENCY, SOURCE
+from tickerloom.session import scratch
 from tickerloom.sources import quotes as feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -317,6 +318,27 @@ def observation_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.withColumnRenamed("source_url", "_n").select(F.col("_n").cast("long").alias("ordinal"), *[c for c in shown.columns if c != "source_url"], F.lit("").alias("source_url"))
 
 
+@query(f"""WITH {REPLAY} SELECT CAST(batch_id AS BIGINT) AS batch_id, ordinal, symbol, CAST(price AS DECIMAL(18,6)) AS price,
+  CAST(previous_price AS DECIMAL(18,6)) AS previous_price, price_change, percent_change FROM observed""")
+def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations stored by batch, and read back."""
+    path = scratch(spark)
+    store.backfill(path, observe.replay(event_quotes(spark, sf_dir)))
+    return store.history(spark, path).select("batch_id", "ordinal", "symbol", "price", "previous_price", "price_change", "percent_change")
+
+
+@query(f"""WITH {REPLAY} SELECT ordinal AS volume, symbol, CAST(price AS DECIMAL(18,6)) AS price, CAST(previous_price AS DECIMAL(18,6)) AS previous_price, price_change, percent_change,
+  'day "' || batch_id || '",' || chr(10) || 'closed' AS run_summary FROM observed""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations exported as CSV, quotes and line breaks in their summaries, and read back by name."""
+    path = scratch(spark)
+    seen = observe.replay(event_quotes(spark, sf_dir)).withColumns({
+        "volume": F.col("ordinal"), "run_summary": F.concat(F.lit('day "'), F.col("batch_id").cast("string"), F.lit('",\nclosed')),
+    })
+    store.export_csv(store.aligned(seen), path)
+    return store.import_csv(spark, path).select("volume", "symbol", "price", "previous_price", "price_change", "percent_change", "run_summary")
+
+
 @query(f"""WITH {REPLAY}, lined AS (
   SELECT batch_id, ordinal, '- ' || symbol || ': price ' || {plain_sql('price')} || ' USD; previous ' || coalesce(nullif({plain_sql('previous_price')}, ''), 'n/a') ||
     '; change ' || coalesce(nullif({plain_sql('price_change')}, ''), 'n/a') || '; percent ' || coalesce(CAST(percent_change AS VARCHAR), 'n/a') || '%' AS line FROM observed)

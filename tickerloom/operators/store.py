@@ -44,6 +44,16 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return aligned(spark.read.option("mergeSchema", "true").option("basePath", path).parquet(path))
 
 
+def backfill(path: str, observations: DataFrame) -> None:
+    """Store many batches at once: observations with batch_id and ordinal; batches already there are replaced as wholes.
+
+    Rows are dealt by batch and a part of it, so that a batch makes a few files and a large one is not written by one task.
+    """
+    rows = aligned(observations)
+    dealt = rows.repartition("batch_id", F.pmod(F.xxhash64("symbol", "ordinal"), F.lit(8)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+
 def append(spark: SparkSession, path: str, observations: DataFrame, batch_id: int, summary: str = "") -> None:
     """Store a batch: observations need an `ordinal`, the order of their quotes."""
     rows = observations.withColumns({"batch_id": F.lit(batch_id), "run_summary": F.lit(summary)})

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 CONF = {
@@ -22,3 +27,14 @@ def session(master: str | None = None, app: str = "tickerloom", **conf: str) ->
     for key, value in {**CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir; where unset, a local one of our own)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        own = tempfile.mkdtemp(prefix="tickerloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
+        found = spark.sparkContext.getCheckpointDir()
+    return f"{found.rstrip('/')}/scratch-{uuid.uuid4().hex}"
