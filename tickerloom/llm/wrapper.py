@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.common import read
 
 #: Pages aligned together, and pages a salted part of a large host holds.
-GROUP, PART = 128, 512
+GROUP, PART = 128, 256
 #: Hosts that are split at most: only hosts with more than pages / SPLIT pages can be among them.
 SPLIT = 5000
 #: A text is template from this share of the group's matching pages, and this many pages, on.
@@ -355,7 +355,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     counts = pages.select(host(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     # At most SPLIT rows: each has more than a SPLIT-th of all pages.
-    large = counts.filter(F.col("n") > max(2 * PART, total // SPLIT)).select(F.col("host").alias("_host"), F.ceil(F.col("n") / PART).alias("_parts"))
+    large = counts.filter(F.col("n") > max(PART, total // SPLIT)).select(F.col("host").alias("_host"), F.ceil(F.col("n") / PART).alias("_parts"))
     keyed = keyed.join(F.broadcast(large), F.col("host") == F.col("_host"), "left")
     draw = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")))
     keyed = keyed.withColumn("part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(draw, F.col("_parts"))))
