@@ -197,6 +197,11 @@ def test_pages_of_different_lengths_align():
     assert wrapper.extract(pages) == ["\n\n".join(f"par {j} of {k}" for j in range(1 + k * 3)) for k in range(8)]
 
 
+def test_lists_of_links_are_menus():
+    body = "<ul><li><a href=1>one</a><li><a href=2>two</a></ul><ul><li>see <a href=1>one</a> there<li>text</ul><ol><li><a href=3>a single link</a></ol>"
+    assert wrapper.extract([f"<div>{body}</div>"]) == ["see one there\n\ntext\n\na single link"]
+
+
 def test_simple_tree_matching():
     a = wrapper.parse("<div><p>1</p><ul><li>x<li>y</ul><p>2</p></div>")
     b = wrapper.parse("<div><ul><li>x<li>y<li>z</ul><p>2</p><h2>n</h2></div>")

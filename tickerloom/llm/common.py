@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,7 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tickerloom-"))
+            own = tempfile.mkdtemp(prefix="tickerloom-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            context.setCheckpointDir(own)
             found = context.getCheckpointDir()
     return found.rstrip("/")
 

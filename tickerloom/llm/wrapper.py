@@ -31,6 +31,8 @@ SPLIT = 5000
 CONSTANT, CONSTANT_PAGES = 0.6, 5
 #: The wrapper goes on into a container that holds this share of the slot text.
 INNER = 0.97
+#: A list with this share of its text in links is a menu.
+LINKED = 0.9
 #: Alignments beyond so many pairs of children go by label runs from both ends.
 PAIRS = 40_000
 DEPTH = 120
@@ -166,6 +168,20 @@ def parse(source: str) -> Node:
     return root
 
 
+def set_menus_aside(node: Node, linked: bool = False) -> tuple[int, int]:
+    """Set aside lists of two items and more whose text is nearly all links; (letters, letters in links) below node."""
+    linked = linked or node.tag == "a"
+    whole = sum(len(c.strip()) for c in node.children if type(c) is str)
+    links = whole if linked else 0
+    for child in node.nodes:
+        if not child.set_aside:
+            a, b = set_menus_aside(child, linked)
+            whole, links = whole + a, links + b
+    if node.tag in ("ul", "ol", "dl") and len(node.nodes) > 1 and whole and links >= LINKED * whole:
+        node.set_aside = True
+    return whole, links
+
+
 def count(node: Node) -> int:
     return 1 + sum(map(count, node.nodes))
 
@@ -277,6 +293,8 @@ def extract(sources: list[str | None]) -> list[str]:
     """The main text of each page of one group."""
     trees = [parse(s or "") for s in sources]
     full = [k for k, s in enumerate(sources) if s]
+    for k in full:
+        set_menus_aside(trees[k])
     if not full:
         return ["" for _ in sources]
     by_size = sorted(full, key=lambda k: (count(trees[k]), sources[k]))
