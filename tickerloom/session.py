@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,16 @@ def session(master: str | None = None, app: str = "tickerloom", **conf: str) ->
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to all executors, where it is not installed or on their PYTHONPATH; the archive's path."""
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tickerloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = shutil.make_archive(f"{folder}/{here.name}", "zip", here.parent, here.name)
+    spark.sparkContext.addPyFile(archive)
+    return archive
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir; where unset, a local one of our own)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
