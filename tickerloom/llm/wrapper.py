@@ -25,6 +25,8 @@ from tickerloom.llm.common import read
 
 #: Pages aligned together, and pages a salted part of a large host holds.
 GROUP, PART = 128, 256
+#: Pages a task gets about.
+TASK = 1000
 #: Hosts that are split at most: only hosts with more than pages / SPLIT pages can be among them.
 SPLIT = 5000
 #: A text is template from this share of the group's matching pages, and this many pages, on.
@@ -369,6 +371,7 @@ def host(url: Column) -> Column:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
+    spark = pages.sparkSession
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     counts = pages.select(host(F.col("url")).alias("host")).groupBy("host").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
@@ -402,7 +405,8 @@ def main_text(pages: DataFrame) -> DataFrame:
         if group:
             yield done()
 
-    ordered = keyed.select("page_id", "url", "html", "host", "part").repartition("host", "part").sortWithinPartitions("host", "part", "page_id", "url")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK)
+    ordered = keyed.select("page_id", "url", "html", "host", "part").repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
     return ordered.mapInArrow(rows, f"page_id {kind}, url string, text string, n_chars long")
 
 
