@@ -31,40 +31,47 @@ NEIGHBOURS = 10
 QUERY_EVERY = 100
 
 
+def packing_of(vectors: DataFrame) -> str:
+    """How components are packed: as they are stored, 32-bit or 64-bit."""
+    return "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, size, vector (64-bit floats, packed) of the vectors that take part."""
+    """row (a number of its own), vec_id, size, vector (packed components) of the vectors that take part."""
+    kind = packing_of(vectors)
 
     def rows(batches):
         for batch in batches:
             keep, packed, sizes = [], [], []
-            column = batch.column(1)
+            column = batch.column(2)
             for k in range(batch.num_rows):
                 value = column[k].values if column[k].is_valid else None
                 if value is None or not len(value) or value.null_count:
                     continue
-                v = value.to_numpy(zero_copy_only=False).astype("<f8")
+                v = value.to_numpy(zero_copy_only=False).astype(kind)
                 if np.isfinite(v).all() and v.any():
                     keep.append(k)
                     packed.append(v.tobytes())
                     sizes.append(len(v))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["vec_id", "size", "vector"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())], ["row", "vec_id", "size", "vector"])
 
-    given = vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long"), "embedding")
-    return given.mapInArrow(rows, "vec_id long, size int, vector binary")
+    given = vectors.filter("vec_id is not null").select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long"), "embedding")
+    return given.mapInArrow(rows, "row long, vec_id long, size int, vector binary")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
+def _matrix(packed: list[bytes], kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(packed), kind).reshape(len(packed), -1).astype("<f8")
 
 
-def spread(vectors: DataFrame) -> dict[int, tuple[int, np.ndarray, float]]:
+def spread(vectors: DataFrame, kind: str) -> dict[int, tuple[int, np.ndarray, float]]:
     """For each vector length: rows, mean vector, root of the mean variance of a component."""
 
     def rows(batches):
         for batch in batches:
             sizes = np.array(batch.column(0).to_pylist(), np.int32)
             for size in np.unique(sizes):
-                m = _matrix(batch.column(1).filter(pa.array(sizes == size)))
+                m = _matrix(batch.column(1).filter(pa.array(sizes == size)).to_pylist(), kind)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(size, size, np.int32)), pa.array(np.arange(size, dtype=np.int32)), pa.array(np.full(size, len(m))), pa.array(m.sum(0)), pa.array((m * m).sum(0))],
                     ["size", "k", "n", "s", "q"],
@@ -91,39 +98,42 @@ def _curve(size: int, curve: int) -> tuple[np.ndarray, np.ndarray]:
     return rotation[:, at : at + dims], np.random.default_rng((size, curve, 1)).random(dims)
 
 
-def keyed(vectors: DataFrame, shape: dict[int, tuple[int, np.ndarray, float]]) -> DataFrame:
-    """line (of one curve and vector length), key, vec_id, vector: a row for each curve."""
+def keyed(vectors: DataFrame, shape: dict[int, tuple[int, np.ndarray, float]], kind: str) -> DataFrame:
+    """line (of one curve and vector length), key, vec_id, row: a row for each curve, without the vector."""
     sizes = sorted(shape)
 
     def rows(batches):
         curves = {(size, c): _curve(size, c) for size in sizes for c in range(CURVES)}
         for batch in batches:
-            all_sizes = np.array(batch.column(1).to_pylist(), np.int32)
+            all_sizes = np.array(batch.column(2).to_pylist(), np.int32)
             for at, size in enumerate(sizes):
                 part = batch.filter(pa.array(all_sizes == size))
                 if not part.num_rows:
                     continue
                 _, mean, scale = shape[size]
-                centred = (_matrix(part.column(2)) - mean) / scale
+                centred = (_matrix(part.column(3).to_pylist(), kind) - mean) / scale
                 for c in range(CURVES):
                     project, shift = curves[size, c]
                     # Three deviations to either side, and up to one more of shift.
                     cells = (centred @ project + 3 + shift) / 7 * (1 << BITS)
                     key = hilbert(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64), BITS)
                     line = pa.array(np.full(part.num_rows, at * CURVES + c, np.int32))
-                    yield pa.RecordBatch.from_arrays([line, pa.array(key), part.column(0), part.column(2)], ["line", "key", "vec_id", "vector"])
+                    yield pa.RecordBatch.from_arrays([line, pa.array(key), part.column(1), part.column(0)], ["line", "key", "vec_id", "row"])
 
-    return vectors.mapInArrow(rows, "line int, key long, vec_id long, vector binary")
+    return vectors.mapInArrow(rows, "line int, key long, vec_id long, row long")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row for which is_query (over vec_id) holds."""
     spark = vectors.sparkSession
+    kind = packing_of(vectors)
     valid = staged(usable(vectors))
-    shape = spread(valid)
+    shape = spread(valid, kind)
     if not shape:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    placed = staged(laid_out(keyed(valid, shape), ["line", "key", "vec_id"], F.lit(1), "place"))
+    # Places are found without the vectors, which then move once, to their blocks.
+    placed = laid_out(keyed(valid, shape, kind), ["line", "key", "vec_id", "row"], F.lit(1), "place")
+    placed = placed.select("row", "line", "place").join(valid.select("row", "vec_id", "vector"), "row")
     # All vectors of a length lie on each of its lines, and lines lie one after the other.
     count = {at * CURVES + c: shape[size][0] for at, size in enumerate(sorted(shape)) for c in range(CURVES)}
     begin = dict(zip(count, np.cumsum([0, *list(count.values())[:-1]]).tolist(), strict=True))
@@ -145,9 +155,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFra
             return empty
         place, ids = left["place"].to_numpy(), left["vec_id"].to_numpy()
         # A block at the seam of two vector lengths holds both.
-        widths = np.array([len(v) for v in left["vector"].to_pylist()])
+        packed = left["vector"].to_pylist()
+        widths = np.array([len(v) for v in packed])
         out: list[tuple[int, np.ndarray, np.ndarray]] = []
-        stacked = {w: np.frombuffer(b"".join(v for v in left["vector"].to_pylist() if len(v) == w), "<f8").reshape(-1, w // 8) for w in np.unique(widths).tolist()}
+        stacked = {w: _matrix([v for v in packed if len(v) == w], kind) for w in np.unique(widths).tolist()}
         rows_of = {w: np.flatnonzero(widths == w) for w in stacked}
         norms = {w: (m * m).sum(1) for w, m in stacked.items()}
         for query_id, raw, first, last in zip(*(right[c].to_pylist() for c in ("query_id", "query", "low", "high")), strict=True):
@@ -158,7 +169,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFra
             near = np.flatnonzero((place[rows] >= first) & (place[rows] <= last) & (ids[rows] != query_id))
             if not len(near):
                 continue
-            q = np.frombuffer(raw, "<f8")
+            q = np.frombuffer(raw, kind).astype("<f8")
             m = stacked[w]
             rough = norms[w][near] - 2 * (m[near] @ q) + q @ q
             if len(near) > k:
