@@ -77,7 +77,7 @@ def run(
     requested = spark.createDataFrame(list(enumerate(symbols)), "pos long, symbol string")
     missing = [row["symbol"] for row in observe.skipped(requested, found).orderBy("pos").collect()]
     summary = ""
-    if summarizer is not None:
+    if summarizer is not None and not seen.isEmpty():
         lines = seen.agg(report.joined(report.summary_line(), F.col("ordinal")).alias("lines")).first()["lines"]
         summary = summarizer(report.summary_prompt(lines, request, plan))
     # What is stored must not be computed from the directory it goes to.

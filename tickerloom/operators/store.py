@@ -69,19 +69,17 @@ def append_quotes(spark: SparkSession, path: str, quotes: DataFrame, batch_id: i
 
 def text_rows(observations: DataFrame, summary: str | None = None) -> DataFrame:
     """The export columns as text: null is empty, decimals without trailing zeros, percents with two places."""
-    run = F.lit(summary) if summary is not None else F.coalesce("run_summary", F.lit("")) if "run_summary" in observations.columns else F.lit("")
-
-    def price(name):
-        return numbers.plain(F.col(name)).alias(name)
-
-    shown = {
+    own = F.coalesce("run_summary", F.lit("")) if "run_summary" in observations.columns else F.lit("")
+    shown = {name: numbers.plain(F.col(name)) for name in ("price", "open", "high", "low", "previous_price", "price_change")}
+    shown |= {
         "fetched_at_utc": text.iso_timestamp(F.col("fetched_at_utc")),
-        "volume": F.coalesce(F.col("volume").cast("string"), F.lit("")),
         "percent_change": numbers.fixed(F.col("percent_change")),
-        "run_summary": run,
+        "run_summary": own if summary is None else F.lit(summary),
     }
-    decimals = {"price", "open", "high", "low", "previous_price", "price_change"}
-    return observations.select(*[price(c) if c in decimals else shown.get(c, F.coalesce(F.col(c).cast("string"), F.lit("")) if c not in shown else None).alias(c) for c in EXPORT_COLUMNS])
+    for name in EXPORT_COLUMNS:
+        if name not in shown:
+            shown[name] = F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return observations.select(*[shown[name].alias(name) for name in EXPORT_COLUMNS])
 
 
 def export_csv(observations: DataFrame, path: str) -> None:

@@ -10,7 +10,6 @@ returns the response body, in place of the network.
 from __future__ import annotations
 
 import importlib
-import re
 from datetime import UTC, datetime
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
@@ -56,7 +55,8 @@ class SymbolPartition(InputPartition):
 
 class QuoteReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        symbols = [s for s in re.split(",", options.get("symbols", "")) if s or options.get("symbols")]
+        given = options.get("symbols", "")
+        symbols = given.split(",") if given else []
         # Every symbol is checked before anything is requested.
         self.asked = [(s.strip().upper(), market_symbol(s)) for s in symbols]
         if not self.asked:
