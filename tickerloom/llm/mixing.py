@@ -106,7 +106,8 @@ def mix(docs: DataFrame) -> DataFrame:
     want = want.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long"))
     want = staged(want.select("source", "source_no", "source_size", "target", "quota", "n_shards"))
 
-    rows = sizes.join(F.broadcast(want), sizes["source"].eqNullSafe(want["source"])).select(
+    # One row a source: Spark sends it everywhere where it is small, and can split a hot source where it is not.
+    rows = sizes.join(want, sizes["source"].eqNullSafe(want["source"])).select(
         sizes["doc_id"], sizes["source"], "size", "place", "source_no", "source_size", "target", "quota", "n_shards"
     )
     rows = rows.withColumn("shard", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
