@@ -190,7 +190,9 @@ def rest_links(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     now = groups.select("key", "class").join(labels, "class")
     sizes = now.groupBy("key", "component").agg(F.count("*").alias("size"))
     parts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("size").alias("whole"), F.max(F.struct("size", "component")).alias("largest"))
+    # Written, so that the join deals both sides anew and a hot key's rows can be split.
     parts = parts.filter("parts > 1").select("key", "whole", (F.col("whole") - F.col("largest.size")).alias("outside"), F.col("largest.component").alias("largest"))
+    now, parts = groups.select("key", "class").join(labels, "class"), staged(parts)
     mixed = now.join(parts, "key").withColumn("blocks", F.ceil(F.col("whole") / BLOCK)).withColumn("chunks", F.ceil(F.col("outside") / BLOCK))
     mixed = staged(mixed.select("key", "class", "component", (F.col("component") != F.col("largest")).alias("asked"), "blocks", "chunks"))
     block, chunk = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")), F.pmod(F.xxhash64("class", F.lit(2)), F.col("chunks"))
@@ -271,7 +273,7 @@ def classes_of(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[Data
     chosen = full.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     reps = full.join(chosen, ["class", "doc_id"]).dropDuplicates(["class"])
     keys = reps.select("class", "n", F.explode("bands").alias("key"))
-    crowd = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    crowd = staged(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"))
     # Only groups of two and more go on; a class's popularity is the company that all its bands have.
     keys = staged(keys.join(crowd, "key"))
     popular = keys.groupBy("class").agg(F.sum("size").alias("popularity"))
@@ -283,7 +285,8 @@ def classes_of(docs: DataFrame, words: int = 3, percent: int = 85) -> tuple[Data
     sets = staged(sets.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"]))
 
     lead = groups.groupBy("key").agg(F.max(F.struct("popularity", "n", "class")).alias("best"))
-    lead = lead.select("key", F.col("best.class").alias("leader"), F.col("best.n").alias("ln"))
+    # Written, so that the join deals both sides anew and a hot key's rows can be split.
+    lead = staged(lead.select("key", F.col("best.class").alias("leader"), F.col("best.n").alias("ln")))
     close = F.least("n", "ln") * 100 >= F.greatest("n", "ln") * percent
     pairs = groups.join(lead, "key").filter(close & (F.col("class") != F.col("leader")))
     pairs = staged(pairs.select(F.col("class").alias("a"), F.col("leader").alias("b")).distinct())
