@@ -60,6 +60,18 @@ def test_continuation_counts_are_of_different_words(spark):
     assert {bytes(r.gram): r.types for r in toxicity.expressions(docs, kept).collect()} == {b"a": 2, b"ab": 2, b"abc": 1, b"x": 1}
 
 
+def test_every_byte_of_an_expression_counts(spark):
+    same = "internationalisation"
+    texts = documents(spark, [(k, f"{same}{'filth' if k % 2 else 'peace'} {'бесконечно' + ('зло' if k % 2 else 'мир')}", "en", "a") for k in range(400)])
+    model = toxicity.learn(texts, labels(spark, [(k, 1, k % 2) for k in range(400)]))
+    data, offsets = common.buffers(pa.array([same + "filth", same + "peace", "бесконечнозло", "бесконечномир"]))
+    found = model.words(data, offsets[:-1], offsets[1:])
+    assert found[0] > found[1] + 1 and found[2] > found[3] + 1
+    docs = documents(spark, [(1, "x" * 35 + "a " + "x" * 35 + "b", None, None)])
+    kept = spark.createDataFrame([(b"x" * 10,), (b"x" * 11,), (b"x" * 10 + b"a",)], "gram binary")
+    assert {bytes(r.gram): r.types for r in toxicity.expressions(docs, kept).collect()} == {b"x" * 10: 2, b"x" * 11: 2, b"x" * 10 + b"a": 1}
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = odd(spark)
     model = toxicity.learn(docs, labels(spark))

@@ -1,13 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models of expressions.
 
-An expression is a run of letters or digits, read byte by byte from its start, so the history of a byte is all of the expression before it
-(up to `ORDER` bytes).  Each class, toxic and ordinary, has such a model with absolute discounting:
+An expression is a run of letters or digits, read byte by byte from its start to its end.  The history of a byte is all of the expression
+before it, and from the byte after the first `ORDER` on the last `ORDER` bytes, wherever they stand.  Each class, toxic and ordinary, has such a model with absolute discounting:
 
     P_c(b | h) = (max(n_c(hb) - D, 0) + D * t_c(h) * P(b | h)) / n_c(h)
 
 with n_c the tokens of the class and t_c(h) the bytes it has seen after h.  The backoff P(b | h) is shared by both classes and smooths rare expressions:
-it comes from Kneser-Ney continuation counts, the number of different expressions in the whole corpus (every document, no labels) that go on with b
-after h.  A text's evidence is the log-likelihood ratio of its expressions, divided by their number; a logistic calibration on
+it comes from Kneser-Ney continuation counts, the number of different (whole) expressions in the whole corpus (every document, no labels) that go on
+with b after h.  A text's evidence is the log-likelihood ratio of its expressions, divided by their number; a logistic calibration on
 labelled rows kept apart from the counts turns that evidence into a probability.
 
 Edge cases: a null or empty text, or one without an expression, has evidence 0 and the score the calibration gives to that; without labels of both
@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import Words, blocks, buffers, held_out, read, staged, sums
+from tickerloom.llm.common import _LOWER, _P, _P_INV, Words, _pow, blocks, buffers, held_out, mix, read, staged, sums
 
 #: Bounds of the labelled sample: expected texts of a seeded draw, a class each.
 TOXIC, ORDINARY = 12_000, 16_000
@@ -45,16 +45,44 @@ _BREAKS = np.ones(256, bool)
 _BREAKS[48:58] = _BREAKS[65:91] = _BREAKS[97:123] = _BREAKS[128:] = False
 
 
-def _distinct(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """First places, inverse and bytes (ORDER at most, lower case) of the different words of a block."""
+def _distinct(words: Words, data: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Inverse and bytes (lower case) of the different words of a block."""
     _, place, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
     raw = data.tobytes().lower()
-    ends = np.minimum(words.end[place], words.start[place] + ORDER)
-    return place, inverse, [raw[a:b] for a, b in zip(words.start[place].tolist(), ends.tolist(), strict=True)]
+    return inverse, [raw[a:b] for a, b in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)]
+
+
+def grams(word: str) -> Column:
+    """The gram of every byte of a word, its history and itself: what begins the word up to ORDER bytes, then windows of ORDER + 1."""
+    ends = F.sequence(F.lit(1), F.octet_length(word))
+    return F.transform(ends, lambda n: F.substring(F.col(word), F.greatest(n - ORDER, F.lit(1)), F.least(n, F.lit(ORDER + 1))))
+
+
+def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the grams of words, byte by byte, and where each word's grams begin (one place more than words)."""
+    first = np.concatenate([[0], np.cumsum(end - start)])
+    at = np.arange(first[-1]) - np.repeat(first[:-1], end - start)
+    begin = np.repeat(start, end - start)
+    return begin + np.maximum(at - ORDER, 0), begin + at + 1, first
+
+
+class Hashes:
+    """64-bit hashes of spans of lower-cased bytes."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.back = _pow(_P_INV, n + 1, "i")
+        self.total = np.zeros(n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _pow(_P, n, "p")[:n], out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[end] - self.total[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
 def expressions(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Continuation counts of the whole corpus: gram binary, types (different expressions that begin with it).
+    """Continuation counts of the whole corpus: gram binary, types (different expressions that begin with it, or have it as a window).
 
     Only the grams in `kept` are counted; CUTOFF and the bounded sample they come from bound their number.
     """
@@ -68,15 +96,14 @@ def expressions(docs: DataFrame, kept: DataFrame) -> DataFrame:
                 words = Words(part, offsets[a : b + 1], _BREAKS)
                 raw = part.tobytes().lower()
                 _, place = np.unique(words.hash, return_index=True)
-                # An expression is told apart by its first 3 * ORDER bytes.
-                ends = np.minimum(words.end[place], words.start[place] + 3 * ORDER)
-                seen.update(dict.fromkeys(raw[s:e] for s, e in zip(words.start[place].tolist(), ends.tolist(), strict=True)))
+                seen.update(dict.fromkeys(raw[s:e] for s, e in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary())], ["word"])
 
     words = docs.select("text").mapInArrow(rows, "word binary").distinct()
-    lengths = F.sequence(F.lit(1), F.least(F.lit(ORDER), F.octet_length("word")))
-    grams = words.select("word", F.explode(lengths).alias("n")).select(F.expr("substring(word, 1, n)").alias("gram"))
-    return grams.join(F.broadcast(kept), "gram").groupBy("gram").agg(F.count("*").alias("types"))
+    # Only windows can come again in an expression; as text they are told apart by hash, as binary pair by pair.
+    once = F.transform(F.array_distinct(F.transform(grams("word"), F.hex)), F.unhex)
+    found = words.select(F.explode(F.when(F.octet_length("word") > ORDER + 1, once).otherwise(grams("word"))).alias("gram"))
+    return found.join(F.broadcast(kept), "gram").groupBy("gram").agg(F.count("*").alias("types"))
 
 
 def _draw(seed: int):
@@ -94,7 +121,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """gram binary, toxic and ordinary tokens that begin with it, where both together reach CUTOFF (or a higher cutoff, for GRAMS)."""
+    """gram binary, toxic and ordinary tokens that begin with it or places where it is a window, where both together reach CUTOFF (or a higher cutoff, for GRAMS)."""
 
     def rows(batches):
         for batch in batches:
@@ -103,16 +130,15 @@ def class_counts(sample: DataFrame) -> DataFrame:
             for a, b in blocks(offsets):
                 part = data[offsets[a] : offsets[b]]
                 words = Words(part, offsets[a : b + 1], _BREAKS)
-                _, inverse, spelled = _distinct(words, part)
+                inverse, spelled = _distinct(words, part)
                 by = np.bincount(inverse, toxic[a:b][words.doc], len(spelled))
                 every = np.bincount(inverse, minlength=len(spelled))
                 yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.binary()), pa.array(by.astype(np.int64)), pa.array((every - by).astype(np.int64))], ["word", "toxic", "ordinary"])
 
     found = sample.select("toxic", "text").mapInArrow(rows, "word binary, toxic long, ordinary long")
     found = found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    lengths = F.sequence(F.lit(1), F.octet_length("word"))
-    grams = found.select("word", "toxic", "ordinary", F.explode(lengths).alias("n")).groupBy(F.expr("substring(word, 1, n)").alias("gram"))
-    counted = staged(grams.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(F.col("toxic") + F.col("ordinary") >= CUTOFF))
+    parts = found.select("toxic", "ordinary", F.explode(grams("word")).alias("gram")).groupBy("gram")
+    counted = staged(parts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(F.col("toxic") + F.col("ordinary") >= CUTOFF))
     together = F.least(F.col("toxic") + F.col("ordinary"), F.lit(1 << 16))
     steps = sorted(counted.groupBy(together.alias("n")).count().collect(), reverse=True)
     kept, cutoff = 0, 1 << 16
@@ -125,9 +151,10 @@ def class_counts(sample: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log-likelihood ratios log P_toxic / P_ordinary of whole grams (all their bytes in a row), by gram."""
+    """Log-likelihood ratios log P_toxic / P_ordinary of a byte after its history, by the sorted hashes of grams."""
 
-    ratio: dict[bytes, float]
+    grams: np.ndarray
+    ratio: np.ndarray
     coefficients: np.ndarray
     share: float
 
@@ -135,19 +162,11 @@ class Model:
         """Of each text: mean evidence, mean of what is above STRONG, expressions, strong ones."""
         out = np.zeros((len(column), 4))
         data, offsets = buffers(column)
-        known = self.ratio
         for a, b in blocks(offsets):
             part = data[offsets[a] : offsets[b]]
             words = Words(part, offsets[a : b + 1], _BREAKS)
-            _, inverse, spelled = _distinct(words, part)
-            found = np.empty(len(spelled))
-            for k, word in enumerate(spelled):
-                n = len(word)
-                r = known.get(word)
-                while r is None and n > 1:  # unseen in both classes from here on: the shared backoff says the same for both
-                    n -= 1
-                    r = known.get(word[:n])
-                found[k] = min(MOST, max(LEAST, r or 0.0))
+            _, place, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+            found = np.clip(self.words(part, words.start[place], words.end[place]), LEAST, MOST)
             every = found[inverse]
             n = np.diff(words.first)
             one = np.maximum(n, 1)
@@ -155,6 +174,11 @@ class Model:
             out[a:b] = np.column_stack([sums(every, words.first) / one, sums(np.where(strong, every - STRONG, 0), words.first) / one, n, sums(strong, words.first)])
         return out
 
+    def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Log-likelihood ratio of each word, over all of its bytes."""
+        begin, stop, first = _spans(start, end)
+        return sums(looked_up(Hashes(data).of(begin, stop), self.grams, self.ratio)[0], first)
+
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if not len(self.coefficients):
             return np.full(len(evidence), self.share)
@@ -170,35 +194,60 @@ def _inputs(evidence: np.ndarray) -> np.ndarray:
     ])
 
 
+def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each key in sorted `known` (0 where it is not there), and whether it is there."""
+    if not len(known):
+        return np.zeros(len(keys), values.dtype), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    there = known[at] == keys
+    return np.where(there, values[at], 0), there
+
+
+def hashed(grams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of grams and of their histories, and lengths."""
+    own, history = [], []
+    size = np.array([len(g) for g in grams], np.int64)
+    for at in range(0, len(grams), 1 << 16):
+        ends = np.cumsum(size[at : at + (1 << 16)])
+        hashes = Hashes(np.frombuffer(b"".join(grams[at : at + (1 << 16)]), np.uint8))
+        own.append(hashes.of(ends - size[at : at + (1 << 16)], ends))
+        history.append(hashes.of(ends - size[at : at + (1 << 16)], ends - 1))
+    return np.concatenate(own), np.concatenate(history), size
+
+
+def steps(grams: list[bytes], tokens: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of grams, and the log-likelihood ratio of the last byte of each after its history.
+
+    `tokens` has a column a class, `types` the corpus.  A history of ORDER bytes has the tokens of the windows it begins, a shorter one those of
+    its own gram.
+    """
+    own, history, size = hashed(grams)
+    order = np.argsort(own)
+    own, history, size, tokens, types = own[order], history[order], size[order], tokens[order], np.maximum(types[order], 1)
+    _, of = np.unique(history, return_inverse=True)
+    after = np.bincount(of, types)[of]
+    logs = []
+    for n in tokens.T:
+        once, twice = (n == 1).sum(), (n == 2).sum()
+        d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+        seen = np.bincount(of, n > 0)[of]
+        total = np.where((size == 1) | (size > ORDER), np.bincount(of, n)[of], looked_up(history, own, n)[0])
+        shared = types / after
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs.append(np.log(np.where((total > 0) & (seen > 0), (np.maximum(n - d, 0) + d * seen * shared) / total, shared)))
+    return own, logs[0] - logs[1]
+
+
 def ratios(counts: list[tuple[bytes, int, int]], types: dict[bytes, int]) -> dict[bytes, float]:
-    """Log-likelihood ratio of every kept gram, from the first byte to the last."""
+    """Log-likelihood ratio of every gram, from the first byte to the last; of a window, that of its last byte."""
     if not counts:
         return {}
-    tokens = {gram: (toxic, ordinary) for gram, toxic, ordinary in counts}
-    tokens[b""] = tuple(sum(c[k] for g, *c in counts if len(g) == 1) for k in (0, 1))
-    after: dict[bytes, list[int]] = {}  # of a history: types in each class, and in the corpus
-    once, twice = [0, 0], [0, 0]
-    for gram, *both in counts:
-        seen = after.setdefault(gram[:-1], [0, 0, 0])
-        seen[2] += max(types.get(gram, 1), 1)
-        for k, n in enumerate(both):
-            seen[k] += n > 0
-            once[k] += n == 1
-            twice[k] += n == 2
-    discount = [min(0.95, max(0.1, o / max(1, o + 2 * t))) for o, t in zip(once, twice, strict=True)]
-    out = {b"": 0.0}
-    for gram, *both in sorted(counts, key=lambda c: (len(c[0]), c[0])):
-        history = gram[:-1]
-        if history not in tokens or history not in out:
-            continue
-        shared = max(types.get(gram, 1), 1) / after[history][2]
-        logs = []
-        for k, n in enumerate(both):
-            total = tokens[history][k]
-            d, seen = discount[k], after[history][k]
-            logs.append(np.log((max(n - d, 0) + d * seen * shared) / total) if total and seen else np.log(shared))
-        out[gram] = out[history] + float(logs[0] - logs[1])
-    del out[b""]
+    grams = [gram for gram, *_ in counts]
+    known, step = steps(grams, np.array([both for _, *both in counts]), np.array([types.get(g, 1) for g in grams]))
+    found = dict(zip(grams, looked_up(hashed(grams)[0], known, step)[0].tolist(), strict=True))
+    out: dict[bytes, float] = {}
+    for gram in sorted(grams, key=len):
+        out[gram] = found[gram] + (out.get(gram[:-1], 0.0) if len(gram) <= ORDER else 0.0)
     return out
 
 
@@ -222,15 +271,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     n, toxic = totals["n"] or 0, totals["toxic"] or 0
     share = toxic / n if n else 0.0
     if not toxic or toxic == n:
-        return Model({}, np.zeros(0), share)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), share)
     sample = staged(labelled(docs, labels))
     counts = class_counts(sample.filter(~F.col("apart")))
-    found = expressions(docs, counts.select("gram")).toArrow()
-    types = dict(zip(found["gram"].to_pylist(), found["types"].to_pylist(), strict=True))
-    found = counts.toArrow()
-    kept = sorted(zip(*(found[c].to_pylist() for c in ("gram", "toxic", "ordinary")), strict=True))
+    found = counts.join(expressions(docs, counts.select("gram")), "gram", "left").fillna(1, "types").orderBy("gram").toArrow()
+    model = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), share)
+    if found.num_rows:
+        tokens = np.column_stack([found["toxic"].to_numpy(), found["ordinary"].to_numpy()])
+        model.grams, model.ratio = steps(found["gram"].to_pylist(), tokens, found["types"].to_numpy())
     del found
-    model = Model(ratios(kept, types), np.zeros(0), share)
     held = sample.filter("apart")
     if held.select("toxic").distinct().count() < 2:  # too few rows to keep some apart
         held = sample
@@ -245,8 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _shipped(docs: DataFrame, model: Model):
     """The model as a broadcast of flat buffers: CUTOFF and the bounded sample bound its size."""
-    grams = sorted(model.ratio)
-    return docs.sparkSession.sparkContext.broadcast((grams, np.array([model.ratio[g] for g in grams], np.float32), model.coefficients, model.share))
+    return docs.sparkSession.sparkContext.broadcast((model.grams, model.ratio.astype(np.float32), model.coefficients, model.share))
 
 
 #: The model a worker used last, by the name its broadcast was given.
@@ -255,9 +303,8 @@ _loaded: dict[str, Model] = {}
 
 def _load(name: str, shipped) -> Model:
     if name not in _loaded:
-        grams, values, coefficients, share = shipped.value
         _loaded.clear()
-        _loaded[name] = Model(dict(zip(grams, values.tolist(), strict=True)), coefficients, share)
+        _loaded[name] = Model(*shipped.value)
     return _loaded[name]
 
 
