@@ -72,6 +72,26 @@ def test_every_byte_of_an_expression_counts(spark):
     assert {bytes(r.gram): r.types for r in toxicity.expressions(docs, kept).collect()} == {b"x" * 10: 2, b"x" * 11: 2, b"x" * 10 + b"a": 1}
 
 
+def test_rare_grams_and_the_corpus_beyond_the_sample_count(spark):
+    docs = documents(spark, [(1, "ab ab ac", None, None), (2, "ad ade zq", None, None)])
+    types = toxicity.expressions(docs)
+    assert {bytes(r.gram): r.types for r in types.collect()} == {b"a": 4, b"ab": 1, b"ac": 1, b"ad": 2, b"ade": 1, b"z": 1, b"zq": 1}
+    counts = toxicity.class_counts(documents(spark, [(1, "ab ab", None, None), (2, "ac", None, None)]).selectExpr("doc_id = 1 AS toxic", "text"))
+    rows = toxicity.continued(counts, types).orderBy("gram").collect()
+    assert [(bytes(r.gram), r.toxic, r.ordinary, r.types, r.after) for r in rows] == [(b"a", 2, 1, 4, 5), (b"ab", 2, 0, 1, 4), (b"ac", 0, 1, 1, 4)]
+    grams = toxicity.hashed(toxicity.continued(counts, types), toxicity.discounts([0, 2], [2, 0]))
+    model = toxicity.Model(*toxicity._sorted(grams.select("own", "ratio")), *toxicity._sorted(grams.select("history", "rest").distinct()), np.zeros(0), 0.0)
+    data, offsets = common.buffers(pa.array(["a", "ab", "ad", "ade", "zq"]))
+    found = model.words(data, offsets[:-1], offsets[1:])
+    d = [0.1, 0.95]  # toxic: none once, two twice; ordinary: two once
+    a = np.log((2 - d[0] + d[0] * 4 / 5) / 2) - np.log((1 - d[1] + d[1] * 4 / 5) / 1)
+    assert found[0] == pytest.approx(a)
+    assert found[1] == pytest.approx(a + np.log((2 - d[0] + d[0] / 4) / 2) - np.log(d[1] / 4))
+    # No class has seen d after a: the backoff cancels, the discounted shares do not; nothing is known after ad, or after z.
+    rest = np.log(d[0] / 2) - np.log(d[1])
+    assert found[2] == found[3] == pytest.approx(a + rest) and found[4] == pytest.approx(np.log(d[0] / 2) - np.log(d[1]))
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = odd(spark)
     model = toxicity.learn(docs, labels(spark))

@@ -28,11 +28,9 @@ from tickerloom.llm.common import _LOWER, _P, _P_INV, Words, _pow, blocks, buffe
 
 #: Bounds of the labelled sample: expected texts of a seeded draw, a class each.
 TOXIC, ORDINARY = 12_000, 16_000
-#: Bytes of history at most, and the least tokens (of both classes) of a history that is kept.
+CLASSES = ("toxic", "ordinary")
+#: Bytes of history at most.
 ORDER = 10
-CUTOFF = 4
-#: Grams a model keeps at most: where more reach CUTOFF, the cutoff rises until they fit.
-GRAMS = 1 << 20
 #: Share of the labelled sample that calibrates instead of counting.
 APART = 4
 THRESHOLD = 0.7
@@ -81,10 +79,10 @@ class Hashes:
             return mix((self.total[end] - self.total[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
-def expressions(docs: DataFrame, kept: DataFrame) -> DataFrame:
+def expressions(docs: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Continuation counts of the whole corpus: gram binary, types (different expressions that begin with it, or have it as a window).
 
-    Only the grams in `kept` are counted; CUTOFF and the bounded sample they come from bound their number.
+    All grams of the corpus are counted, or those in `kept`.
     """
 
     def rows(batches):
@@ -103,7 +101,8 @@ def expressions(docs: DataFrame, kept: DataFrame) -> DataFrame:
     # Only windows can come again in an expression; as text they are told apart by hash, as binary pair by pair.
     once = F.transform(F.array_distinct(F.transform(grams("word"), F.hex)), F.unhex)
     found = words.select(F.explode(F.when(F.octet_length("word") > ORDER + 1, once).otherwise(grams("word"))).alias("gram"))
-    return found.join(F.broadcast(kept), "gram").groupBy("gram").agg(F.count("*").alias("types"))
+    found = found if kept is None else found.join(kept, "gram")
+    return found.groupBy("gram").agg(F.count("*").alias("types"))
 
 
 def _draw(seed: int):
@@ -121,7 +120,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """gram binary, toxic and ordinary tokens that begin with it or places where it is a window, where both together reach CUTOFF (or a higher cutoff, for GRAMS)."""
+    """gram binary, toxic and ordinary tokens that begin with it or places where it is a window."""
 
     def rows(batches):
         for batch in batches:
@@ -138,23 +137,44 @@ def class_counts(sample: DataFrame) -> DataFrame:
     found = sample.select("toxic", "text").mapInArrow(rows, "word binary, toxic long, ordinary long")
     found = found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     parts = found.select("toxic", "ordinary", F.explode(grams("word")).alias("gram")).groupBy("gram")
-    counted = staged(parts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).filter(F.col("toxic") + F.col("ordinary") >= CUTOFF))
-    together = F.least(F.col("toxic") + F.col("ordinary"), F.lit(1 << 16))
-    steps = sorted(counted.groupBy(together.alias("n")).count().collect(), reverse=True)
-    kept, cutoff = 0, 1 << 16
-    for n, count in steps:
-        if kept + count > GRAMS:
-            break
-        kept, cutoff = kept + count, n
-    return counted.filter(F.col("toxic") + F.col("ordinary") >= cutoff)
+    return parts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def history(gram: str) -> Column:
+    return F.substring(F.col(gram), F.lit(1), F.octet_length(gram) - 1)
+
+
+def continued(counts: DataFrame, types: DataFrame) -> DataFrame:
+    """The rows of counts with the corpus' types of the gram, and of its history: `after`, the types of all grams of the corpus that have it,
+    and for each class its tokens `n_` and the grams seen after it, `seen_`.
+
+    A history of ORDER bytes, and the empty one, has the tokens of the grams that have it, another those of its own gram.
+    """
+    every = types.groupBy(history("gram").alias("history")).agg(F.sum("types").alias("after"))
+    by = counts.groupBy(history("gram").alias("history")).agg(
+        *[F.sum(c).alias(f"sum_{c}") for c in CLASSES], *[F.count_if(F.col(c) > 0).alias(f"seen_{c}") for c in CLASSES]
+    )
+    own = counts.select(F.col("gram").alias("history"), *[F.col(c).alias(f"own_{c}") for c in CLASSES])
+    summed = F.octet_length("history").isin(0, ORDER)
+    by = by.join(own, "history", "left").join(every, "history", "left")
+    total = [F.when(summed, F.col(f"sum_{c}")).otherwise(F.coalesce(f"own_{c}", F.lit(0))).alias(f"n_{c}") for c in CLASSES]
+    by = by.select("history", F.coalesce("after", F.lit(1)).alias("after"), *total, *[f"seen_{c}" for c in CLASSES])
+    rows = counts.join(types, "gram", "left").fillna(1, "types").withColumn("history", history("gram"))
+    return rows.join(by, "history").drop("history")
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios log P_toxic / P_ordinary of a byte after its history, by the sorted hashes of grams."""
+    """Log-likelihood ratios log P_toxic / P_ordinary of a byte after its history, by the sorted hashes of grams.
+
+    `rest` has, by the sorted hashes of histories, the ratio of every byte that no class has seen after them: there P(b | h) is a factor of both
+    classes and cancels.  After a history that no class has seen both are P(b | h), and the ratio is 0.
+    """
 
     grams: np.ndarray
     ratio: np.ndarray
+    histories: np.ndarray
+    rest: np.ndarray
     coefficients: np.ndarray
     share: float
 
@@ -177,7 +197,11 @@ class Model:
     def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio of each word, over all of its bytes."""
         begin, stop, first = _spans(start, end)
-        return sums(looked_up(Hashes(data).of(begin, stop), self.grams, self.ratio)[0], first)
+        hashes = Hashes(data)
+        found, there = looked_up(hashes.of(begin, stop), self.grams, self.ratio)
+        unseen = np.flatnonzero(~there)
+        found[unseen] = looked_up(hashes.of(begin[unseen], stop[unseen] - 1), self.histories, self.rest)[0]
+        return sums(found, first)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         if not len(self.coefficients):
@@ -203,54 +227,69 @@ def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[
     return np.where(there, values[at], 0), there
 
 
-def hashed(grams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of grams and of their histories, and lengths."""
-    own, history = [], []
-    size = np.array([len(g) for g in grams], np.int64)
-    for at in range(0, len(grams), 1 << 16):
-        ends = np.cumsum(size[at : at + (1 << 16)])
-        hashes = Hashes(np.frombuffer(b"".join(grams[at : at + (1 << 16)]), np.uint8))
-        own.append(hashes.of(ends - size[at : at + (1 << 16)], ends))
-        history.append(hashes.of(ends - size[at : at + (1 << 16)], ends - 1))
-    return np.concatenate(own), np.concatenate(history), size
+def discounts(once: list[int], twice: list[int]) -> list[float]:
+    return [min(0.95, max(0.1, o / max(1, o + 2 * t))) for o, t in zip(once, twice, strict=True)]
 
 
-def steps(grams: list[bytes], tokens: np.ndarray, types: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of grams, and the log-likelihood ratio of the last byte of each after its history.
+def steps(n: np.ndarray, total: np.ndarray, seen: np.ndarray, shared: np.ndarray, discount: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood ratio of the last byte of grams after their history, and of any byte that no class has seen there.
 
-    `tokens` has a column a class, `types` the corpus.  A history of ORDER bytes has the tokens of the windows it begins, a shorter one those of
-    its own gram.
+    `n` is the tokens of the grams, `total` and `seen` the tokens of their histories and the grams seen after them, a column a class; `shared` is the backoff.
     """
-    own, history, size = hashed(grams)
-    order = np.argsort(own)
-    own, history, size, tokens, types = own[order], history[order], size[order], tokens[order], np.maximum(types[order], 1)
-    _, of = np.unique(history, return_inverse=True)
-    after = np.bincount(of, types)[of]
-    logs = []
-    for n in tokens.T:
-        once, twice = (n == 1).sum(), (n == 2).sum()
-        d = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-        seen = np.bincount(of, n > 0)[of]
-        total = np.where((size == 1) | (size > ORDER), np.bincount(of, n)[of], looked_up(history, own, n)[0])
-        shared = types / after
-        with np.errstate(divide="ignore", invalid="ignore"):
-            logs.append(np.log(np.where((total > 0) & (seen > 0), (np.maximum(n - d, 0) + d * seen * shared) / total, shared)))
-    return own, logs[0] - logs[1]
+    known = (total > 0) & (seen > 0)
+    total = np.maximum(total, 1)
+    left = np.where(known, np.array(discount) * seen / total, 1)
+    p = np.log(np.where(known, np.maximum(n - np.array(discount), 0) / total, 0) + left * shared[:, None])
+    left = np.log(left)
+    return p[:, 0] - p[:, 1], left[:, 0] - left[:, 1]
 
 
 def ratios(counts: list[tuple[bytes, int, int]], types: dict[bytes, int]) -> dict[bytes, float]:
-    """Log-likelihood ratio of every gram, from the first byte to the last; of a window, that of its last byte."""
-    if not counts:
-        return {}
-    grams = [gram for gram, *_ in counts]
-    known, step = steps(grams, np.array([both for _, *both in counts]), np.array([types.get(g, 1) for g in grams]))
-    found = dict(zip(grams, looked_up(hashed(grams)[0], known, step)[0].tolist(), strict=True))
+    """Log-likelihood ratio of grams in hand that begin expressions, from the first byte to the last."""
+    tokens = {gram: both for gram, *both in counts}
+    tokens[b""] = np.sum([both for gram, both in tokens.items() if len(gram) == 1], axis=0)
+    discount = discounts(*[[sum(both[k] == n for _, *both in counts) for k in (0, 1)] for n in (1, 2)])
     out: dict[bytes, float] = {}
-    for gram in sorted(grams, key=len):
-        out[gram] = found[gram] + (out.get(gram[:-1], 0.0) if len(gram) <= ORDER else 0.0)
+    for gram, *both in sorted(counts, key=lambda c: len(c[0])):
+        after = [g for g, *_ in counts if g[:-1] == gram[:-1]]
+        seen = [sum(tokens[g][k] > 0 for g in after) for k in (0, 1)]
+        shared = types[gram] / sum(types[g] for g in after)
+        step = steps(*[np.array([x]) for x in (both, tokens[gram[:-1]], seen)], np.array([shared]), discount)[0]
+        out[gram] = out.get(gram[:-1], 0.0) + float(step[0])
     return out
 
 
+def hashed(rows: DataFrame, discount: list[float]) -> DataFrame:
+    """own, ratio, history, rest: hashes of the grams of `continued` and of their histories, with their steps."""
+
+    def of(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {name: batch.column(name) for name in batch.schema.names}
+            pairs = [np.column_stack([column[f"{kind}{c}"].to_numpy() for c in CLASSES]) for kind in ("", "n_", "seen_")]
+            shared = column["types"].to_numpy() / column["after"].to_numpy()
+            ratio, rest = steps(*pairs, shared, discount)
+            words = column["gram"].to_pylist()
+            size = np.array([len(w) for w in words])
+            ends = np.cumsum(size)
+            hashes = Hashes(np.frombuffer(b"".join(words), np.uint8))
+            keys = [hashes.of(ends - size, stop).view(np.int64) for stop in (ends, ends - 1)]
+            columns = [keys[0], ratio.astype(np.float32), keys[1], rest.astype(np.float32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["own", "ratio", "history", "rest"])
+
+    return rows.mapInArrow(of, "own long, ratio float, history long, rest float")
+
+
+def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of two columns, as they sort, and their values."""
+    found = rows.toArrow()
+    keys, values = (found.column(k).to_numpy() for k in (0, 1))
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 def calibrate(inputs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Ridge logistic regression by Newton steps."""
     w = np.zeros(inputs.shape[1])
@@ -265,21 +304,26 @@ def calibrate(inputs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return w
 
 
+def _nothing() -> list[np.ndarray]:
+    return [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)]
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.filter(~held_out("doc_id") & F.col("toxic").isNotNull())
     totals = known.agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("long")).alias("toxic")).first()
     n, toxic = totals["n"] or 0, totals["toxic"] or 0
     share = toxic / n if n else 0.0
     if not toxic or toxic == n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), share)
+        return Model(*_nothing(), np.zeros(0), share)
     sample = staged(labelled(docs, labels))
     counts = class_counts(sample.filter(~F.col("apart")))
-    found = counts.join(expressions(docs, counts.select("gram")), "gram", "left").fillna(1, "types").orderBy("gram").toArrow()
-    model = Model(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), share)
-    if found.num_rows:
-        tokens = np.column_stack([found["toxic"].to_numpy(), found["ordinary"].to_numpy()])
-        model.grams, model.ratio = steps(found["gram"].to_pylist(), tokens, found["types"].to_numpy())
-    del found
+    # Of the whole corpus: grows with it, and is only ever read by joins.
+    types = staged(expressions(docs))
+    counts = staged(class_counts(sample.filter(~F.col("apart"))))
+    few = counts.agg(*[F.count_if(F.col(c) == n).alias(f"{c}{n}") for n in (1, 2) for c in CLASSES]).first()
+    grams = staged(hashed(continued(counts, types), discounts(few[:2], few[2:])))
+    # 12 bytes a gram of the sample, and a history.
+    model = Model(*_sorted(grams.select("own", "ratio")), *_sorted(grams.groupBy("history").agg(F.first("rest"))), np.zeros(0), share)
     held = sample.filter("apart")
     if held.select("toxic").distinct().count() < 2:  # too few rows to keep some apart
         held = sample
@@ -293,8 +337,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def _shipped(docs: DataFrame, model: Model):
-    """The model as a broadcast of flat buffers: CUTOFF and the bounded sample bound its size."""
-    return docs.sparkSession.sparkContext.broadcast((model.grams, model.ratio.astype(np.float32), model.coefficients, model.share))
+    """The model as a broadcast of flat buffers: the grams of the sample of labelled texts, 12 bytes each, and their histories."""
+    return docs.sparkSession.sparkContext.broadcast((model.grams, model.ratio, model.histories, model.rest, model.coefficients, model.share))
 
 
 #: The model a worker used last, by the name its broadcast was given.
