@@ -223,6 +223,15 @@ def test_odd_pages():
     assert len(wrapper.extract([long])[0]) == 499_999
 
 
+def test_slots_outside_the_largest_container_stay():
+    body = [f"long text {k} " * 60 for k in range(9)]
+    pages = [f"<html><body><h2>Site</h2><article><h1>Title {k}</h1><p class=lead>Lead {k}</p><div class=body><p>{body[k]}</p></div></article></body></html>" for k in range(9)]
+    pages[8] = pages[8].replace("</body>", "<section><p>one more section</p></section></body>")
+    want = [f"Title {k}\n\nLead {k}\n\n{body[k].strip()}" for k in range(9)]
+    want[8] += "\n\none more section"
+    assert wrapper.extract(pages) == want
+
+
 def test_page_query(spark):
     rows = [(k, f"http://Host.example:80/{k}", page(f"<p>Text {k}</p>", k)) for k in range(40)] + [(99, None, "<p>x</p>"), (None, "nonsense", None), (7, "http://a/", page("<p>y</p>", 1))]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")

@@ -2,13 +2,13 @@
 
 Pages of a host are taken in groups of `GROUP`.  Every page's DOM tree is matched, top down, with the tree of one page of its group (the one of median
 size): two nodes with equal labels match, and their children match so that most nodes do, in order.  A node whose own text is the same on most pages of the
-group is template; matched nodes whose text differs, and nodes without a partner, are slots.  The wrapper is the innermost
-container that holds nearly all slot text of the group once menus, headers, footers, sidebars, notices, adverts, forms and reader comments are set
-aside; a page's main text is what fills its slots there.
+group is template; matched nodes whose text differs, and nodes without a partner, are slots.  The wrapper is the
+template with its slots once menus, headers, footers, sidebars, notices, adverts, forms and reader comments are set aside; a page's main text is
+what fills its slots, wherever they are.
 
 Large hosts are split over salted groups, so no task has to hold a host; each page is parsed once.  Edge cases: null, empty and text-free html give
-an empty text; a page alone on its host (or with null url) has no template, only slots; a page that the wrapper does not fit, or whose text would
-all be template, keeps all of its text outside the parts set aside; repeated rows stay rows; an empty table gives no rows; extra columns are ignored.
+an empty text; a page alone on its host (or with null url) has no template, only slots; a page whose text would
+all be template keeps all of its text outside the parts set aside; repeated rows stay rows; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,6 @@ TASK = 1000
 SPLIT = 5000
 #: A text is template from this share of the group's matching pages, and this many pages, on.
 CONSTANT, CONSTANT_PAGES = 0.6, 5
-#: The wrapper goes on into a container that holds this share of the slot text.
-INNER = 0.97
 #: A list with this share of its text in links is a menu.
 LINKED = 0.9
 #: Alignments beyond so many pairs of children go by label runs from both ends.
@@ -329,38 +327,14 @@ def extract(sources: list[str | None]) -> list[str]:
                 return False
         return bool(ids)
 
-    slots = {k: [not template(k, ids) for _, _, ids in blocks[k]] for k in full}
-    # Slot text under each node of the reference, over the whole group.
-    mass: Counter = Counter()
-    for k in full:
-        for (holder, text, _), slot in zip(blocks[k], slots[k], strict=True):
-            if slot:
-                up = holder
-                while up is not None:
-                    if (partner := aligned[k].get(id(up))) is not None:
-                        mass[id(partner)] += len(text)
-                    up = up.parent
-    wrapper = reference
-    while True:
-        inner = max((n for n in wrapper.nodes if n.tag in CONTAINER and not n.set_aside), key=lambda n: mass[id(n)], default=None)
-        if inner is None or mass[id(inner)] < INNER * max(1, mass[id(reference)]):
-            break
-        wrapper = inner
-
     out = []
     for k, source in enumerate(sources):
         if not source:
             out.append("")
             continue
-        inside = []
-        for (holder, text, _), slot in zip(blocks[k], slots[k], strict=True):
-            up = holder
-            while slot and up is not None and aligned[k].get(id(up)) is not wrapper:
-                up = up.parent
-            if slot and up is not None:
-                inside.append(text)
-        # A page the wrapper does not fit: all text that is not set aside.
-        out.append("\n\n".join(inside or [text for _, text, _ in blocks[k]]))
+        slots = [text for _, text, ids in blocks[k] if not template(k, ids)]
+        # A page of template only: all text that is not set aside.
+        out.append("\n\n".join(slots or [text for _, text, _ in blocks[k]]))
     return out
 
 
