@@ -248,6 +248,25 @@ def test_mix_over_shards_equals_sql(spark, monkeypatch):
     assert sorted((r.doc_id, r["size"], r.source_size, r.target, r.taken) for r in got) == sorted(con.sql(sql).fetchall())
 
 
+def test_delivered_words_meet_the_target_of_each_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "WEIGHTS", (30, 1, 20))
+    rng = np.random.default_rng(5)
+    rows = [(k, "w " * int(rng.integers(1500, 3000)), None, "b") for k in range(120)]
+    rows += [(k, "w " * int(rng.integers(1, 2000)), None, "a" if k % 3 else "c") for k in range(120, 720)]
+    rows += [(7777, "w " * 50, None, "d") for _ in range(400)]
+    docs = documents(spark, rows)
+    delivered, longest = {}, {}
+    for r in mixing.apply_mix(docs).collect():
+        delivered[r.source] = delivered.get(r.source, 0) + len(words(r.text))
+    for _, text, _, source in rows:
+        longest[source] = max(longest.get(source, 0), len(words(text)))
+    got = mixing.mix(docs).collect()
+    ratio = {r.source: r.target / r.source_size for r in got}
+    assert 0.05 < ratio["b"] < 0.5  # long documents were all dropped there
+    for r in got:
+        assert abs(delivered.get(r.source, 0) - r.target) <= 2 * longest[r.source] + 2 * mixing.BLOCK_WORDS + (0.1 * r.target if r.source == "d" else 0)
+
+
 def test_mix_of_odd_rows(spark):
     got = mixing.mix(odd(spark)).collect()
     assert len(got) == 10 and all(r.taken <= 2 * r["size"] for r in got)

@@ -14,7 +14,7 @@ source are ignored by `mix` and kept by `apply_mix`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +36,16 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"))
 
 
+def placed() -> Column:
+    """The seeded place of a document, by doc_id."""
+    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+
+
+def sharded(n_shards: Column) -> Column:
+    """The shard of a document of its source, by place."""
+    return F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % n_shards
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """One row a source: source, source_size, target (words, double)."""
     by = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -95,8 +105,7 @@ def apportion(rows: DataFrame, seats: str, votes: str, group: list[str], key: st
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
     sizes = sized(docs)
-    place = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sizes = staged(sizes.withColumn("place", place))
+    sizes = staged(sizes.withColumn("place", placed()))
     want = targets(sizes)
     ids = Window.orderBy(F.col("source").asc_nulls_last())
     blocks = F.floor(F.col("target") / BLOCK_WORDS + 0.5).cast("long")
@@ -110,7 +119,7 @@ def mix(docs: DataFrame) -> DataFrame:
     rows = sizes.join(want, sizes["source"].eqNullSafe(want["source"])).select(
         sizes["doc_id"], sizes["source"], "size", "place", "source_no", "source_size", "target", "quota", "n_shards"
     )
-    rows = rows.withColumn("shard", F.conv(F.substring("place", 1, 8), 16, 10).cast("long") % F.col("n_shards"))
+    rows = rows.withColumn("shard", sharded(F.col("n_shards")))
     # Where each document begins in its shard: a shard holds about SHARD_WORDS words, so its rows fit one task.
     line = Window.partitionBy("source_no", "shard").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(line), F.lit(0)))
@@ -147,14 +156,27 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus in the columns of docs: each document as often as the nearest whole number of its taken / size."""
-    mixed = mix(docs).filter("size > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "taken")
-    times = F.floor(F.col("taken") / F.col("_size") + 0.5).cast("int")
-    # Repeated rows share what their places took.
-    copies = mixed.groupBy("_id", "_source", "_size").agg(F.floor(F.avg(times) + 0.5).cast("int").alias("_copies"))
+    """The mixed corpus in the columns of docs: each document taken / size times, rounded up or down.
+
+    Along a shard, shortest documents first, a seeded running remainder decides, so the words a shard delivers miss those taken by less than two of its
+    longest documents.  Repeated rows share what their places took, each by a draw of its own from its place in the input.
+    """
+    mixed = mix(docs).filter("size > 0").withColumn("place", placed())
+    mixed = mixed.withColumn("shard", sharded(F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long")))
+    start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.lit("start"), "source", "shard")), 1, 8), 16, 10).cast("double") / (1 << 32)
+    line = Window.partitionBy("source", "shard").orderBy("size", "place", "taken")
+    rest = (F.col("taken") % F.col("size")) / F.col("size")
+    upto = F.sum(rest).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.coalesce(F.sum(rest).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    times = F.floor(F.col("taken") / F.col("size")) + F.floor(start + upto) - F.floor(start + ahead)
+    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), times.alias("_times"))
+    copies = mixed.groupBy("_id", "_source", "_size").agg(F.avg("_times").alias("_copies"))
     rows = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    rows = rows.withColumn("_draw", F.pmod(F.xxhash64(F.lit(SEED), F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30))
     same = rows["doc_id"].eqNullSafe(copies["_id"]) & rows["source"].eqNullSafe(copies["_source"]) & (rows["_size"] == copies["_size"])
-    rows = rows.join(copies.filter("_copies > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    whole = F.floor("_copies")
+    mine = (whole + (F.col("_draw") < F.col("_copies") - whole).cast("long")).cast("int")
+    rows = rows.join(copies.filter("_copies > 0"), same).withColumn("_n", mine).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     return rows.select(*[rows[c] for c in docs.columns])
 
 
