@@ -247,6 +247,13 @@ def test_large_hosts_are_split(spark, monkeypatch):
     assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == {k: f"Text {k}" for k in range(300)}
 
 
+def test_no_group_of_a_host_is_a_small_rest(spark):
+    for n in (130, 258):
+        pages = spark.createDataFrame([(k, "http://h/", f"<body><h2>Site name</h2><p>Text {k}</p></body>") for k in range(n)], "page_id long, url string, html string")
+        want = {k: f"Text {k}" for k in range(n)}
+        assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == want
+
+
 def test_entities_and_nul(spark):
     assert pa.array(wrapper.extract(["<p>&#0;&#xD800;&bogus; &amp;amp;</p>"])).type == pa.string()
 

@@ -1,13 +1,13 @@
 """Main text of web pages by wrapper induction: same-host pages are aligned by simple tree matching.
 
-Pages of a host are taken in groups of `GROUP`.  Every page's DOM tree is matched, top down, with the tree of one page of its group (the one of median
+Pages of a host are taken in groups of `GROUP`, the last two of equal size.  Every page's DOM tree is matched, top down, with the tree of one page of its group (the one of median
 size): two nodes with equal labels match, and their children match so that most nodes do, in order.  A node whose own text is the same on most pages of the
 group is template; matched nodes whose text differs, and nodes without a partner, are slots.  The wrapper is the
 template with its slots once menus, headers, footers, sidebars, notices, adverts, forms and reader comments are set aside; a page's main text is
 what fills its slots, wherever they are.
 
 Large hosts are split over salted groups, so no task has to hold a host; each page is parsed once.  Edge cases: null, empty and text-free html give
-an empty text; a page alone on its host (or with null url) has no template, only slots; a page whose text would
+an empty text; a page on a host of fewer than `CONSTANT_PAGES` (or with null url) has no template, only slots; a page whose text would
 all be template keeps all of its text outside the parts set aside; repeated rows stay rows; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -366,18 +366,29 @@ def main_text(pages: DataFrame) -> DataFrame:
             columns = [pa.array([g[c] for g in group], t) for c, t in enumerate(types)]
             return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+        def last():
+            """What is left of a part: one group, or two of equal size where it is more than GROUP."""
+            nonlocal group
+            left, groups = group, -(-len(group) // GROUP)
+            for k in range(groups):
+                group = left[k * len(left) // groups : (k + 1) * len(left) // groups]
+                yield done()
+            group = []
+
         for batch in batches:
             id_type = batch.schema.field(0).type
             for step in range(0, batch.num_rows, 256):
                 part = batch.slice(step, 256)
                 for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if group and (at != row[3:] or len(group) == GROUP):
+                    if group and at != row[3:]:
+                        yield from last()
+                    elif len(group) == 2 * GROUP:
+                        rest, group = group[GROUP:], group[:GROUP]
                         yield done()
-                        group = []
+                        group = rest
                     at = row[3:]
                     group.append(row[:3])
-        if group:
-            yield done()
+        yield from last()
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK)
     ordered = keyed.select("page_id", "url", "html", "host", "part").repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "page_id", "url")
