@@ -1,17 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models of expressions.
 
-An expression is a run of letters or digits, read byte by byte from its start to its end.  The history of a byte is all of the expression
-before it, and from the byte after the first `ORDER` on the last `ORDER` bytes, wherever they stand.  Each class, toxic and ordinary, has such a model with absolute discounting:
-
-    P_c(b | h) = (max(n_c(hb) - D, 0) + D * t_c(h) * P(b | h)) / n_c(h)
-
-with n_c the tokens of the class and t_c(h) the bytes it has seen after h.  The backoff P(b | h) is shared by both classes and smooths rare expressions:
-it comes from Kneser-Ney continuation counts, the number of different (whole) expressions in the whole corpus (every document, no labels) that go on
-with b after h.  A text's evidence is the log-likelihood ratio of its expressions, divided by their number; a logistic calibration on
-labelled rows kept apart from the counts turns that evidence into a probability.
-
-Edge cases: a null or empty text, or one without an expression, has evidence 0 and the score the calibration gives to that; without labels of both
-classes every score is the share of toxic labels known (0 if none); repeated rows and null doc_ids stay rows; other columns are ignored.
+An expression is a run of letters or digits, lower-cased by Unicode's rules, read byte by byte from its start to its end, the end included.  Each class,
+toxic and ordinary, has such a model with absolute discounting, whose history h of a byte b is the whole expression before it:
+
+    P_c(b | h) = (n_c(hb) - D(n_c(hb)) + d_c(h) * P(b | h)) / n_c(h)
+
+with n_c the texts of the class (an expression counts once a text, so a text that repeats itself does not weigh more), D the discount of a count
+(`DISCOUNTS`) and d_c(h) the sum of the discounts of what the class has seen after h.  The backoff P(b | h) is shared by both classes and smooths rare
+expressions.  It is an interpolated Kneser-Ney model itself, over the last `ORDER` bytes and, step by step, over one byte less down to none, counted
+on the different expressions of the whole corpus (every document, no labels): places at the highest order, below it the different bytes that stand
+ahead of a window.  Only the shared backoff looks back no further than ORDER bytes; the classes' histories have no bound.
+
+A toxic text is ordinary text with a share of toxic expressions, so its likelihood of an expression w is (1 - s) P_ordinary(w) + s P_toxic(w).
+The evidence of a text is the difference of the two log-likelihoods, toxic text and ordinary text, divided by the number of expressions.  A logistic
+curve of two parameters over that one number, fitted on labelled rows kept apart from the counts, turns it into a probability; s is the one of `SHARES`
+with which these rows' labels are most likely.
+
+Bounds of the fit: at most `TOXIC` and `ORDINARY` labelled ids, one text an id (the least by hash); every `APART`-th of a class, the first
+included, is kept apart.  What the corpus gives (`windows`) has no bound.  Edge cases: a null or empty text, or one without an expression, has evidence
+0 and the score the curve gives to that; where a class has fewer than two labelled texts, every score is the share of toxic labels known (0 if none);
+repeated rows and null doc_ids stay rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,201 +29,261 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tickerloom.llm.common import _LOWER, _P, _P_INV, Words, _pow, blocks, buffers, held_out, mix, read, staged, sums
+from tickerloom.llm.common import _P, _P_INV, Words, _pow, blocks, buffers, held_out, mix, read, staged, sums
 
-#: Bounds of the labelled sample: expected texts of a seeded draw, a class each.
+#: Bounds of the labelled sample: texts of a class, the least by hash.
 TOXIC, ORDINARY = 12_000, 16_000
 CLASSES = ("toxic", "ordinary")
-#: Bytes of history at most.
-ORDER = 10
-#: Share of the labelled sample that calibrates instead of counting.
-APART = 4
+#: Bytes of history of the shared backoff; a window holds one more, and fits a long.
+ORDER = 5
+#: Of the labelled sample, one in APART calibrates instead of counting.
+APART = 8
+#: Discounts of counts of one, two, and three or more.  Larger than counts of counts suggest, as the bytes of one expression are no independent draws.
+DISCOUNTS = (0.95, 1.5, 2.0)
 THRESHOLD = 0.7
-#: Evidence of an expression from which it counts as strong, and the bounds of what one expression can say.
-STRONG = 2.0
-LEAST, MOST = -2.0, 6.0
+#: Shares of toxic expressions in toxic texts that are tried.
+SHARES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
 
 #: Expressions are ASCII letters and digits and everything beyond ASCII.
 _BREAKS = np.ones(256, bool)
 _BREAKS[48:58] = _BREAKS[65:91] = _BREAKS[97:123] = _BREAKS[128:] = False
+#: What stands ahead of an expression, and its end: bytes that are never in one.
+START, END = 1, 2
+
+
+def lowered(column: pa.Array) -> pa.Array:
+    """Texts in lower case, by Unicode's rules."""
+    return pc.utf8_lower(column.cast(pa.large_string()))
+
+
+def text_blocks(column: pa.Array):
+    """(first row, last row, bytes, expressions) of each block of lower-cased texts."""
+    data, offsets = buffers(lowered(column))
+    for a, b in blocks(offsets):
+        part = data[offsets[a] : offsets[b]]
+        yield a, b, part, Words(part, offsets[a : b + 1], _BREAKS)
+
+
+def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The given expressions one after the other, each followed by END, and where each begins (one place more than expressions)."""
+    size = end - start + 1
+    first = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(first[-1]) - np.repeat(first[:-1], size) + np.repeat(start, size)
+    last = np.zeros(first[-1], bool)
+    last[first[1:] - 1] = True
+    out = np.full(first[-1], END, np.uint8)
+    out[~last] = data[place[~last]]
+    return out, first
+
+
+def windows_of(line: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each byte of spelled expressions: it and the ORDER bytes ahead of it in its expression (START before its first), in one number."""
+    at = np.arange(len(line)) - np.repeat(first[:-1], np.diff(first))
+    out = np.zeros(len(line), np.int64)
+    for back in range(ORDER + 1):
+        byte = np.full(len(line), START, np.int64)
+        inside = at >= back
+        byte[inside] = line[np.flatnonzero(inside) - back]
+        out |= byte << (8 * back)
+    return out
 
 
-def _distinct(words: Words, data: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Inverse and bytes (lower case) of the different words of a block."""
-    _, place, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-    raw = data.tobytes().lower()
-    return inverse, [raw[a:b] for a, b in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)]
-
-
-def grams(word: str) -> Column:
-    """The gram of every byte of a word, its history and itself: what begins the word up to ORDER bytes, then windows of ORDER + 1."""
-    ends = F.sequence(F.lit(1), F.octet_length(word))
-    return F.transform(ends, lambda n: F.substring(F.col(word), F.greatest(n - ORDER, F.lit(1)), F.least(n, F.lit(ORDER + 1))))
-
-
-def _spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the grams of words, byte by byte, and where each word's grams begin (one place more than words)."""
-    first = np.concatenate([[0], np.cumsum(end - start)])
-    at = np.arange(first[-1]) - np.repeat(first[:-1], end - start)
-    begin = np.repeat(start, end - start)
-    return begin + np.maximum(at - ORDER, 0), begin + at + 1, first
+def prefixes(line: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte of spelled expressions, 64-bit hashes of its expression up to and including it, and of what is ahead of it."""
+    back = _pow(_P_INV, len(line) + 1, "i")
+    total = np.zeros(len(line) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((line.astype(np.uint64) + np.uint64(1)) * _pow(_P, len(line), "p")[: len(line)], out=total[1:])
+        begin = np.repeat(first[:-1], np.diff(first))
+        at = np.arange(len(line))
 
+        def hashed(end: np.ndarray) -> np.ndarray:
+            return mix((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
 
-class Hashes:
-    """64-bit hashes of spans of lower-cased bytes."""
+        return hashed(at + 1), hashed(at)
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.back = _pow(_P_INV, n + 1, "i")
-        self.total = np.zeros(n + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _pow(_P, n, "p")[:n], out=self.total[1:])
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.total[end] - self.total[start]) * self.back[start] + (end - start).astype(np.uint64))
+# The shared backoff ----------------------------------------------------------------------------------------
 
 
-def expressions(docs: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """Continuation counts of the whole corpus: gram binary, types (different expressions that begin with it, or have it as a window).
+def windows(docs: DataFrame) -> DataFrame:
+    """gram long, n: the windows of all different expressions of the corpus and the places where they stand.  Grows with the corpus."""
 
-    All grams of the corpus are counted, or those in `kept`.
-    """
-
-    def rows(batches):
+    def found(batches):
         for batch in batches:
             seen: dict[bytes, None] = {}
-            data, offsets = buffers(batch.column(0))
-            for a, b in blocks(offsets):
-                part = data[offsets[a] : offsets[b]]
-                words = Words(part, offsets[a : b + 1], _BREAKS)
-                raw = part.tobytes().lower()
+            for _, _, data, words in text_blocks(batch.column(0)):
+                raw = data.tobytes()
                 _, place = np.unique(words.hash, return_index=True)
                 seen.update(dict.fromkeys(raw[s:e] for s, e in zip(words.start[place].tolist(), words.end[place].tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary())], ["word"])
 
-    words = docs.select("text").mapInArrow(rows, "word binary").distinct()
-    # Only windows can come again in an expression; as text they are told apart by hash, as binary pair by pair.
-    once = F.transform(F.array_distinct(F.transform(grams("word"), F.hex)), F.unhex)
-    found = words.select(F.explode(F.when(F.octet_length("word") > ORDER + 1, once).otherwise(grams("word"))).alias("gram"))
-    found = found if kept is None else found.join(kept, "gram")
-    return found.groupBy("gram").agg(F.count("*").alias("types"))
-
-
-def _draw(seed: int):
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 30))
+    def cut(batches):
+        for batch in batches:
+            data, offsets = buffers_of_binary(batch.column(0))
+            for a, b in blocks(offsets):
+                grams, n = np.unique(windows_of(*spelled(data, offsets[a:b], offsets[a + 1 : b + 1])), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], ["gram", "n"])
+
+    words = docs.select("text").mapInArrow(found, "word binary").distinct()
+    return words.mapInArrow(cut, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def buffers_of_binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def tail(gram: Column, size: int) -> Column:
+    """The last `size` bytes of a window."""
+    return gram.bitwiseAND(F.lit((1 << 8 * size) - 1))
+
+
+def backoff(top: DataFrame) -> DataFrame:
+    """gram, shared: P(b | h) of every window (gram, n), recursively interpolated with one byte of history less."""
+    levels = {ORDER + 1: top}
+    for size in range(ORDER, 0, -1):
+        # A window's continuation count: the different bytes that stand ahead of it.
+        shorter = levels[size + 1].select(tail(F.col("gram"), size).alias("gram"))
+        levels[size] = staged(shorter.groupBy("gram").agg(F.count("*").alias("n")))
+    every = levels[1].select(F.lit(1).alias("size"), "n")
+    for size in range(2, ORDER + 2):
+        every = every.unionByName(levels[size].select(F.lit(size).alias("size"), "n"))
+    few = every.groupBy("size").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()
+    discount = {row["size"]: min(0.95, max(0.1, row["once"] / max(1, row["once"] + 2 * row["twice"]))) for row in few}
+    # A history has at most 257 rows, one a byte.
+    after = Window.partitionBy(F.shiftright("gram", 8))
+    lower = None
+    for size in range(1, ORDER + 2):
+        d = F.lit(discount.get(size, 0.5))
+        rows = levels[size].select("gram", "n", F.sum("n").over(after).alias("total"), F.count("*").over(after).alias("seen"))
+        if lower is None:
+            rows = rows.withColumn("less", F.lit(1 / 256))
+        else:
+            rows = rows.withColumn("short", tail(F.col("gram"), size - 1)).join(lower.select(F.col("gram").alias("short"), F.col("shared").alias("less")), "short")
+        shared = (F.greatest(F.col("n") - d, F.lit(0.0)) + d * F.col("seen") * F.col("less")) / F.col("total")
+        lower = rows.select("gram", shared.alias("shared"))
+    return lower
+
+
+# The labelled sample ---------------------------------------------------------------------------------------
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, toxic, apart, text of the sample."""
-    known = labels.filter(~held_out("doc_id") & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    count = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
-    most = F.when(F.col("toxic") == 1, F.lit((TOXIC << 30) // max(1, count.get(1, 1)) + 1)).otherwise(F.lit((ORDINARY << 30) // max(1, count.get(0, 1)) + 1))
-    drawn = known.filter(_draw(23) < most).select(F.col("doc_id").alias("_id"), "toxic", (_draw(29) % APART == 0).alias("apart"))
-    # TOXIC + ORDINARY ids or so: small enough to send everywhere.
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "apart", "text")
+    """doc_id, toxic, apart, text of the sample: at most TOXIC and ORDINARY ids, one text each."""
+    spark = docs.sparkSession
+    known = labels.filter(~held_out("doc_id") & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)))
+    chosen = []
+    for toxic, most in ((1, TOXIC), (0, ORDINARY)):
+        rows = known.filter(F.col("toxic") == toxic).orderBy("draw", "doc_id").limit(most).collect()
+        chosen += [(row["doc_id"], toxic, k % APART == 0) for k, row in enumerate(rows)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ids = spark.createDataFrame(chosen, f"_id {labels.schema['doc_id'].dataType.simpleString()}, toxic int, apart boolean")
+    # At most TOXIC + ORDINARY ids: small enough to send everywhere.
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    # Of an id that has many texts, one.
+    first = F.min(F.struct(F.xxhash64("text").alias("draw"), F.col("text").alias("text")))
+    rows = rows.groupBy("doc_id", "toxic", "apart").agg(first.alias("first"))
+    return rows.select(F.col("doc_id").cast(kind).alias("doc_id"), "toxic", "apart", F.col("first.text").alias("text"))
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """gram binary, toxic and ordinary tokens that begin with it or places where it is a window."""
+    """own, history (hashes of a gram and of what is ahead of its last byte), gram (its window), toxic and ordinary texts with an expression that begins so, each as often as it has such expressions."""
 
     def rows(batches):
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
             toxic = np.array(batch.column(0).to_pylist(), bool)
-            for a, b in blocks(offsets):
-                part = data[offsets[a] : offsets[b]]
-                words = Words(part, offsets[a : b + 1], _BREAKS)
-                inverse, spelled = _distinct(words, part)
-                by = np.bincount(inverse, toxic[a:b][words.doc], len(spelled))
-                every = np.bincount(inverse, minlength=len(spelled))
-                yield pa.RecordBatch.from_arrays([pa.array(spelled, pa.binary()), pa.array(by.astype(np.int64)), pa.array((every - by).astype(np.int64))], ["word", "toxic", "ordinary"])
+            for a, b, data, words in text_blocks(batch.column(1)):
+                _, place, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+                # An expression counts once a text.
+                doc, which = np.divmod(np.unique(words.doc * max(1, len(place)) + inverse), max(1, len(place)))
+                by = np.bincount(which, toxic[a:b][doc], len(place)).astype(np.int64)
+                every = np.bincount(which, minlength=len(place))
+                line, first = spelled(data, words.start[place], words.end[place])
+                own, history = prefixes(line, first)
+                times = np.diff(first)
+                columns = [own.view(np.int64), history.view(np.int64), windows_of(line, first), np.repeat(by, times), np.repeat(every - by, times)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["own", "history", "gram", "toxic", "ordinary"])
 
-    found = sample.select("toxic", "text").mapInArrow(rows, "word binary, toxic long, ordinary long")
-    found = found.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    parts = found.select("toxic", "ordinary", F.explode(grams("word")).alias("gram")).groupBy("gram")
-    return parts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    found = sample.select("toxic", "text").mapInArrow(rows, "own long, history long, gram long, toxic long, ordinary long")
+    return found.groupBy("own", "history", "gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def history(gram: str) -> Column:
-    return F.substring(F.col(gram), F.lit(1), F.octet_length(gram) - 1)
+def discount_of(count: Column) -> Column:
+    one, two, more = map(F.lit, DISCOUNTS)
+    return F.when(count == 0, 0.0).when(count == 1, one).when(count == 2, two).otherwise(more)
 
 
-def continued(counts: DataFrame, types: DataFrame) -> DataFrame:
-    """The rows of counts with the corpus' types of the gram, and of its history: `after`, the types of all grams of the corpus that have it,
-    and for each class its tokens `n_` and the grams seen after it, `seen_`.
+def steps(counts: DataFrame, shared: DataFrame) -> DataFrame:
+    """own, ratio, history, rest: log P_toxic / P_ordinary of the last byte of each gram, and of any byte that no class has seen after its history.
 
-    A history of ORDER bytes, and the empty one, has the tokens of the grams that have it, another those of its own gram.
+    There P(b | h) is a factor of both classes and cancels; after a history that no class has seen the ratio is 0.
     """
-    every = types.groupBy(history("gram").alias("history")).agg(F.sum("types").alias("after"))
-    by = counts.groupBy(history("gram").alias("history")).agg(
-        *[F.sum(c).alias(f"sum_{c}") for c in CLASSES], *[F.count_if(F.col(c) > 0).alias(f"seen_{c}") for c in CLASSES]
-    )
-    own = counts.select(F.col("gram").alias("history"), *[F.col(c).alias(f"own_{c}") for c in CLASSES])
-    summed = F.octet_length("history").isin(0, ORDER)
-    by = by.join(own, "history", "left").join(every, "history", "left")
-    total = [F.when(summed, F.col(f"sum_{c}")).otherwise(F.coalesce(f"own_{c}", F.lit(0))).alias(f"n_{c}") for c in CLASSES]
-    by = by.select("history", F.coalesce("after", F.lit(1)).alias("after"), *total, *[f"seen_{c}" for c in CLASSES])
-    rows = counts.join(types, "gram", "left").fillna(1, "types").withColumn("history", history("gram"))
-    return rows.join(by, "history").drop("history")
+    # A history has at most 257 rows, one a byte.
+    after = Window.partitionBy("history")
+    rows = counts.join(shared, "gram")
+    p, left = {}, {}
+    for c in CLASSES:
+        discount = discount_of(F.col(c))
+        rows = rows.withColumn(f"n_{c}", F.sum(c).over(after)).withColumn(f"d_{c}", F.sum(discount).over(after))
+        seen = F.col(f"n_{c}") > 0
+        left[c] = F.when(seen, F.col(f"d_{c}") / F.col(f"n_{c}")).otherwise(1.0)
+        p[c] = F.when(seen, (F.col(c) - discount) / F.col(f"n_{c}")).otherwise(0.0) + left[c] * F.col("shared")
+    ratio, rest = F.log(p["toxic"]) - F.log(p["ordinary"]), F.log(left["toxic"]) - F.log(left["ordinary"])
+    return rows.select("own", ratio.cast("float").alias("ratio"), "history", rest.cast("float").alias("rest"))
+
+
+# Scoring ---------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
-    """Log-likelihood ratios log P_toxic / P_ordinary of a byte after its history, by the sorted hashes of grams.
-
-    `rest` has, by the sorted hashes of histories, the ratio of every byte that no class has seen after them: there P(b | h) is a factor of both
-    classes and cancels.  After a history that no class has seen both are P(b | h), and the ratio is 0.
-    """
+    """Steps by the sorted hashes of grams, and of histories; the share of toxic expressions and the curve (None: every score is `known`)."""
 
     grams: np.ndarray
     ratio: np.ndarray
     histories: np.ndarray
     rest: np.ndarray
-    coefficients: np.ndarray
-    share: float
+    shares: tuple[float, ...] = SHARES
+    curve: tuple[float, float] | None = None
+    known: float = 0.0
 
     def evidence(self, column: pa.Array) -> np.ndarray:
-        """Of each text: mean evidence, mean of what is above STRONG, expressions, strong ones."""
-        out = np.zeros((len(column), 4))
-        data, offsets = buffers(column)
-        for a, b in blocks(offsets):
-            part = data[offsets[a] : offsets[b]]
-            words = Words(part, offsets[a : b + 1], _BREAKS)
+        """Of each text, a column a share: the difference of its log-likelihoods as toxic and as ordinary text, divided by its expressions."""
+        out = np.zeros((len(column), len(self.shares)))
+        for a, b, data, words in text_blocks(column):
             _, place, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-            found = np.clip(self.words(part, words.start[place], words.end[place]), LEAST, MOST)
-            every = found[inverse]
-            n = np.diff(words.first)
-            one = np.maximum(n, 1)
-            strong = every > STRONG
-            out[a:b] = np.column_stack([sums(every, words.first) / one, sums(np.where(strong, every - STRONG, 0), words.first) / one, n, sums(strong, words.first)])
+            found = self.words(data, words.start[place], words.end[place])
+            n = np.maximum(np.diff(words.first), 1)
+            for k, share in enumerate(self.shares):
+                out[a:b, k] = sums(np.logaddexp(np.log1p(-share), np.log(share) + found)[inverse], words.first) / n
         return out
 
     def words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio of each word, over all of its bytes."""
-        begin, stop, first = _spans(start, end)
-        hashes = Hashes(data)
-        found, there = looked_up(hashes.of(begin, stop), self.grams, self.ratio)
+        """Log-likelihood ratio of each expression, over all of its bytes and its end."""
+        line, first = spelled(data, start, end)
+        own, history = prefixes(line, first)
+        found, there = looked_up(own, self.grams, self.ratio)
         unseen = np.flatnonzero(~there)
-        found[unseen] = looked_up(hashes.of(begin[unseen], stop[unseen] - 1), self.histories, self.rest)[0]
+        found[unseen] = looked_up(history[unseen], self.histories, self.rest)[0]
         return sums(found, first)
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        if not len(self.coefficients):
-            return np.full(len(evidence), self.share)
-        return 1 / (1 + np.exp(-np.clip(_inputs(evidence) @ self.coefficients, -40, 40)))
-
-
-def _inputs(evidence: np.ndarray) -> np.ndarray:
-    mean, strong, n, n_strong = evidence.T
-    root = np.sqrt(n)
-    return np.column_stack([
-        np.ones(len(n)), np.clip(mean * 10, -5, 5), np.clip(strong * 20, 0, 6), np.clip(mean * root, -6, 6), np.clip(strong * root, 0, 6),
-        np.log1p(n) / 3, np.clip(n_strong, 0, 3), np.clip(n_strong / np.maximum(n, 1) * 50, 0, 3),
-    ])
+        """Scores from evidence of the one share that was chosen."""
+        if self.curve is None:
+            return np.full(len(evidence), self.known)
+        shift, slope = self.curve
+        return 1 / (1 + np.exp(-np.clip(shift + slope * evidence / self.shares[0], -40, 40)))
 
 
 def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,60 +295,6 @@ def looked_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray) -> tuple[
     return np.where(there, values[at], 0), there
 
 
-def discounts(once: list[int], twice: list[int]) -> list[float]:
-    return [min(0.95, max(0.1, o / max(1, o + 2 * t))) for o, t in zip(once, twice, strict=True)]
-
-
-def steps(n: np.ndarray, total: np.ndarray, seen: np.ndarray, shared: np.ndarray, discount: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """Log-likelihood ratio of the last byte of grams after their history, and of any byte that no class has seen there.
-
-    `n` is the tokens of the grams, `total` and `seen` the tokens of their histories and the grams seen after them, a column a class; `shared` is the backoff.
-    """
-    known = (total > 0) & (seen > 0)
-    total = np.maximum(total, 1)
-    left = np.where(known, np.array(discount) * seen / total, 1)
-    p = np.log(np.where(known, np.maximum(n - np.array(discount), 0) / total, 0) + left * shared[:, None])
-    left = np.log(left)
-    return p[:, 0] - p[:, 1], left[:, 0] - left[:, 1]
-
-
-def ratios(counts: list[tuple[bytes, int, int]], types: dict[bytes, int]) -> dict[bytes, float]:
-    """Log-likelihood ratio of grams in hand that begin expressions, from the first byte to the last."""
-    tokens = {gram: both for gram, *both in counts}
-    tokens[b""] = np.sum([both for gram, both in tokens.items() if len(gram) == 1], axis=0)
-    discount = discounts(*[[sum(both[k] == n for _, *both in counts) for k in (0, 1)] for n in (1, 2)])
-    out: dict[bytes, float] = {}
-    for gram, *both in sorted(counts, key=lambda c: len(c[0])):
-        after = [g for g, *_ in counts if g[:-1] == gram[:-1]]
-        seen = [sum(tokens[g][k] > 0 for g in after) for k in (0, 1)]
-        shared = types[gram] / sum(types[g] for g in after)
-        step = steps(*[np.array([x]) for x in (both, tokens[gram[:-1]], seen)], np.array([shared]), discount)[0]
-        out[gram] = out.get(gram[:-1], 0.0) + float(step[0])
-    return out
-
-
-def hashed(rows: DataFrame, discount: list[float]) -> DataFrame:
-    """own, ratio, history, rest: hashes of the grams of `continued` and of their histories, with their steps."""
-
-    def of(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = {name: batch.column(name) for name in batch.schema.names}
-            pairs = [np.column_stack([column[f"{kind}{c}"].to_numpy() for c in CLASSES]) for kind in ("", "n_", "seen_")]
-            shared = column["types"].to_numpy() / column["after"].to_numpy()
-            ratio, rest = steps(*pairs, shared, discount)
-            words = column["gram"].to_pylist()
-            size = np.array([len(w) for w in words])
-            ends = np.cumsum(size)
-            hashes = Hashes(np.frombuffer(b"".join(words), np.uint8))
-            keys = [hashes.of(ends - size, stop).view(np.int64) for stop in (ends, ends - 1)]
-            columns = [keys[0], ratio.astype(np.float32), keys[1], rest.astype(np.float32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["own", "ratio", "history", "rest"])
-
-    return rows.mapInArrow(of, "own long, ratio float, history long, rest float")
-
-
 def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The keys of two columns, as they sort, and their values."""
     found = rows.toArrow()
@@ -290,22 +304,25 @@ def _sorted(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], values[order]
 
 
-def calibrate(inputs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps."""
-    w = np.zeros(inputs.shape[1])
-    for _ in range(40):
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Shift and slope (never negative) of a logistic curve, by Newton steps with a slight ridge."""
+    inputs, w = np.column_stack([np.ones(len(x)), x]), np.zeros(2)
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(inputs @ w, -30, 30)))
-        slope = inputs.T @ (weight * (p - y)) + 0.5 * w
-        curve = (inputs * (weight * p * (1 - p))[:, None]).T @ inputs + 0.5 * np.eye(len(w))
+        slope = inputs.T @ (weight * (p - y)) + 0.05 * w
+        curve = (inputs * (weight * p * (1 - p))[:, None]).T @ inputs + 0.05 * np.eye(2)
         step = np.linalg.solve(curve, slope)
         w -= step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-8:
             break
-    return w
+    if w[1] < 0:  # evidence that points the wrong way says nothing
+        share = float((weight * y).sum() / weight.sum())
+        return float(np.log(share / (1 - share))), 0.0
+    return float(w[0]), float(w[1])
 
 
-def _nothing() -> list[np.ndarray]:
-    return [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0)]
+def _empty() -> list[np.ndarray]:
+    return [np.zeros(0, np.uint64), np.zeros(0, np.float32)] * 2
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
@@ -314,33 +331,31 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     n, toxic = totals["n"] or 0, totals["toxic"] or 0
     share = toxic / n if n else 0.0
     if not toxic or toxic == n:
-        return Model(*_nothing(), np.zeros(0), share)
+        return Model(*_empty(), known=share)
     sample = staged(labelled(docs, labels))
-    counts = class_counts(sample.filter(~F.col("apart")))
-    # Of the whole corpus: grows with it, and is only ever read by joins.
-    types = staged(expressions(docs))
+    both = {tuple(row) for row in sample.select("toxic", "apart").distinct().collect()}
+    if len(both) < 4:
+        return Model(*_empty(), known=share)
     counts = staged(class_counts(sample.filter(~F.col("apart"))))
-    few = counts.agg(*[F.count_if(F.col(c) == n).alias(f"{c}{n}") for n in (1, 2) for c in CLASSES]).first()
-    grams = staged(hashed(continued(counts, types), discounts(few[:2], few[2:])))
+    # Of the whole corpus: grows with it, and is only ever read by joins.
+    shared = backoff(staged(windows(docs)))
+    grams = staged(steps(counts, shared))
     # 12 bytes a gram of the sample, and a history.
-    model = Model(*_sorted(grams.select("own", "ratio")), *_sorted(grams.groupBy("history").agg(F.first("rest"))), np.zeros(0), share)
-    held = sample.filter("apart")
-    if held.select("toxic").distinct().count() < 2:  # too few rows to keep some apart
-        held = sample
-    apart = evidence(held, model, ["doc_id", "toxic"]).orderBy("doc_id", "toxic").toPandas()
-    y = apart["toxic"].to_numpy(float)
-    if 0 < y.sum() < len(y):
-        # The sample has other shares of the classes than the labels; weights restore them.
-        weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        model.coefficients = calibrate(_inputs(np.array(apart["evidence"].tolist())), y, weight)
+    model = Model(*_sorted(grams.select("own", "ratio")), *_sorted(grams.groupBy("history").agg(F.first("rest"))), known=share)
+    apart = _measured(sample.filter("apart"), model, ["doc_id", "toxic"]).orderBy("doc_id", "toxic").toPandas()
+    y, found = apart["toxic"].to_numpy(float), np.array(apart["evidence"].tolist())
+    # The sample has other shares of the classes than the labels; weights restore them.
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    fitted = []
+    for k, s in enumerate(SHARES):
+        x = found[:, k] / s
+        curve = calibrate(x, y, weight)
+        fitted.append((float((weight * np.logaddexp(0, (1 - 2 * y) * (curve[0] + curve[1] * x))).sum()), s, curve))
+    _, s, model.curve = min(fitted)
+    model.shares = (s,)
     return model
 
 
-def _shipped(docs: DataFrame, model: Model):
-    """The model as a broadcast of flat buffers: the grams of the sample of labelled texts, 12 bytes each, and their histories."""
-    return docs.sparkSession.sparkContext.broadcast((model.grams, model.ratio, model.histories, model.rest, model.coefficients, model.share))
-
-
 #: The model a worker used last, by the name its broadcast was given.
 _loaded: dict[str, Model] = {}
 
@@ -348,29 +363,42 @@ _loaded: dict[str, Model] = {}
 def _load(name: str, shipped) -> Model:
     if name not in _loaded:
         _loaded.clear()
-        _loaded[name] = Model(*shipped.value)
+        _loaded[name] = shipped.value
     return _loaded[name]
 
 
-def evidence(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, score, and evidence as an array."""
-    shipped, name = _shipped(docs, model), uuid.uuid4().hex
+def _measured(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs and evidence as an array, a value a share."""
+    # The grams of the sample of labelled texts, 12 bytes each, and their histories.
+    shipped, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def rows(batches):
-        local = None
         for batch in batches:
-            local = local or _load(name, shipped)
-            found = local.evidence(batch.column(batch.num_columns - 1))
+            found = _load(name, shipped).evidence(batch.column(batch.num_columns - 1))
             values = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(local.score(found)), values], [*keep, "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], values], [*keep, "evidence"])
 
     given = docs.select(*keep, "text")
     kinds = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep)
-    return given.mapInArrow(rows, f"{kinds}, score double, evidence array<double>")
+    return given.mapInArrow(rows, f"{kinds}, evidence array<double>")
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, evidence, score of every document."""
+    shipped, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+
+    def rows(batches):
+        for batch in batches:
+            local = _load(name, shipped)
+            found = local.evidence(batch.column(1))[:, 0]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array(local.score(found))], ["doc_id", "evidence", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, evidence double, score double")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = evidence(docs, learn(docs, read(spark, sf_dir, "labels")), ["doc_id"])
+    found = scored(docs, learn(docs, read(spark, sf_dir, "labels")))
     predicted = F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted, "evidence")
