@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -202,13 +203,111 @@ def test_lists_of_links_are_menus():
     assert wrapper.extract([f"<div>{body}</div>"]) == ["see one there\n\ntext\n\na single link"]
 
 
+def full_matching(a, b):
+    """Simple tree matching as defined: every pair of children compared, no shortcut."""
+    if a.label != b.label:
+        return 0
+    best = [[0] * (len(b.nodes) + 1) for _ in range(len(a.nodes) + 1)]
+    for i, x in enumerate(a.nodes):
+        for j, y in enumerate(b.nodes):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + full_matching(x, y))
+    return 1 + best[-1][-1]
+
+
+def random_page(rng, depth=0):
+    out = ""
+    for _ in range(rng.randint(0, 4)):
+        tag = rng.choice(["div", "section", "b", "ul"])
+        out += f"<{tag}>{random_page(rng, depth + 1) if depth < 3 else 'x'}</{tag}>"
+    return out
+
+
 def test_simple_tree_matching():
     a = wrapper.parse("<div><p>1</p><ul><li>x<li>y</ul><p>2</p></div>")
     b = wrapper.parse("<div><ul><li>x<li>y<li>z</ul><p>2</p><h2>n</h2></div>")
-    memo = {}
-    assert wrapper.match(a, a, memo) == wrapper.count(a) == 7
-    assert wrapper.match(a, b, {}) == 6  # root, div, ul, two li, p
-    assert len(wrapper.align(a, b)) == 6
+    shapes = wrapper.Shapes()
+    for tree in (a, b):
+        shapes.name(wrapper.in_order(tree))
+    assert shapes.match(a.shape, a.shape) == len(wrapper.in_order(a)) == 7
+    assert shapes.match(a.shape, b.shape) == 6  # root, div, ul, two li, p
+    assert len(wrapper.align(a, b, shapes)) == 6
+
+
+def test_alignment_equals_full_tree_matching():
+    rng = random.Random(7)
+    for _ in range(120):
+        trees = [wrapper.parse(random_page(rng)) for _ in range(3)]
+        shapes = wrapper.Shapes()
+        for tree in trees:
+            shapes.name(wrapper.in_order(tree))
+        for a in trees:
+            for b in trees:
+                want = full_matching(a, b)
+                assert shapes.match(a.shape, b.shape) == want
+                matched = wrapper.align(a, b, shapes)
+                assert len(matched) == want
+                back = {id(x): y for y in wrapper.in_order(b) if (x := matched.get(id(y))) is not None}
+                assert len(back) == want  # no node twice, and parents match where children do
+                for x in wrapper.in_order(a):
+                    if id(x) in back and x.parent is not None:
+                        assert back[id(x)].label == x.label and back[id(x.parent)] is back[id(x)].parent
+
+
+def test_long_lists_of_children_align_as_a_whole():
+    rng = random.Random(3)
+    names = [rng.choice("abcdef") for _ in range(700)]
+    other = [n for n in names if rng.random() > 0.2]
+    a, b = (wrapper.parse("".join(f"<{n}x>1</{n}x>" for n in part)) for part in (names, other))
+    shapes = wrapper.Shapes()
+    for tree in (a, b):
+        shapes.name(wrapper.in_order(tree))
+    assert shapes.match(a.shape, b.shape) == len(wrapper.align(a, b, shapes)) == 1 + len(other)
+
+
+def plain_site(k, more=""):
+    """A page without any name that tells its parts apart."""
+    notice = ["Buy now.", "Meet us.", "Ask us.", "Call us."][k * 7 % 4]
+    return (
+        f"<html><body><div class=a>The site of sites</div><div class=b>{notice}</div><div class=c><h1>Title {k}</h1><p>First paragraph of page {k}, longer than all "
+        f"the rest of it.</p>{f'<p>More of {k}.</p>' * (k % 3)}{more}</div><div class=d>Page {k} of our site</div></body></html>"
+    )
+
+
+def test_alignment_finds_the_main_text_without_any_name(monkeypatch):
+    """The text comes from what pages show together: without the alignment it is lost among the rest, without the lists of names nothing changes."""
+    pages = [plain_site(k) for k in range(24)]
+    want = [f"Title {k}\n\nFirst paragraph of page {k}, longer than all the rest of it." + f"\n\nMore of {k}." * (k % 3) for k in range(24)]
+    assert wrapper.extract(pages) == want
+    for name in ("MARKS", "MARKED_TAGS", "MARKED_ROLES"):
+        monkeypatch.setattr(wrapper, name, frozenset())
+    assert wrapper.extract(pages) == want
+    table = [h for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.1/pages.parquet' WHERE url LIKE '%//tionble.example.org/%'").fetchall()]
+    articles = wrapper.extract(table)
+    monkeypatch.undo()
+    assert len(table) == 133 and articles == wrapper.extract(table)
+    assert all("&copy;" in h and "©" not in t for h, t in zip(table, articles, strict=True))
+    # Nothing is known to stand at the same place: notices and footers stay.
+    with monkeypatch.context() as m:
+        m.setattr(wrapper, "CONSTANT_PAGES", 10**9)
+        assert all("The site of sites" in t and "of our site" in t for t in wrapper.extract(pages))
+    one = wrapper.extract(pages[:1])[0]
+    assert "The site of sites" in one
+
+
+def test_names_do_not_delete_parts_of_articles():
+    more = '<h2 id="search">Search</h2><h2 id="copyright-law">Law</h2><h3 class="widget">W</h3><section id="social-policy"><p>Policy</p></section><p data-id="comments" title="see id=ad here">kept</p>'
+    want = "\n\nSearch\n\nLaw\n\nW\n\nPolicy\n\nkept"
+    assert wrapper.extract([f"<article><p>text</p>{more}</article>"]) == ["text" + want]
+    pages = [plain_site(k, more + f"<div class=share>{k}</div>" if k == 3 else "") for k in range(24)]
+    assert wrapper.extract(pages)[3].endswith(want + "\n\n3")  # a name that stands on one page only is no part of the site
+    shared = [plain_site(k, f"<div class=share>Share {k}</div>") for k in range(24)]
+    assert not any("Share" in t for t in wrapper.extract(shared))
+
+
+def test_deep_menus_are_set_aside():
+    deep = "<div>" * 130 + "<nav><p>menu</p></nav><p>text</p>" + "</div>" * 130
+    assert wrapper.extract([deep]) == ["text"]
+    assert wrapper.extract([deep.replace("text", f"text {k}") for k in range(9)]) == [f"text {k}" for k in range(9)]
 
 
 def test_odd_pages():
@@ -247,8 +346,14 @@ def test_large_hosts_are_split(spark, monkeypatch):
     assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == {k: f"Text {k}" for k in range(300)}
 
 
+def test_very_long_pages_make_smaller_groups(spark, monkeypatch):
+    monkeypatch.setattr(wrapper, "GROUP_LETTERS", 15_000)
+    pages = spark.createDataFrame([(k, "http://h/", page(f"<p>Text {k}</p>" * (1 + k % 9), k)) for k in range(60)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == {k: "\n\n".join([f"Text {k}"] * (1 + k % 9)) for k in range(60)}
+
+
 def test_no_group_of_a_host_is_a_small_rest(spark):
-    for n in (130, 258):
+    for n in (129, 130, 257, 258):
         pages = spark.createDataFrame([(k, "http://h/", f"<body><h2>Site name</h2><p>Text {k}</p></body>") for k in range(n)], "page_id long, url string, html string")
         want = {k: f"Text {k}" for k in range(n)}
         assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == want
