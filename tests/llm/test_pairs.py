@@ -344,6 +344,8 @@ def test_large_hosts_are_split(spark, monkeypatch):
     monkeypatch.setattr(wrapper, "PART", 20)
     pages = spark.createDataFrame([(k, "http://h/", page(f"<p>Text {k}</p>", k)) for k in range(300)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == {k: f"Text {k}" for k in range(300)}
+    monkeypatch.setattr(wrapper, "SENT", 0)
+    assert {r.page_id: r.text for r in wrapper.main_text(pages).collect()} == {k: f"Text {k}" for k in range(300)}
 
 
 def test_very_long_pages_make_smaller_groups(spark, monkeypatch):

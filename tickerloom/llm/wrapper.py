@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import read
+from tickerloom.llm.common import read, staged
 
 #: Pages aligned together, and pages a salted part of a large host holds.
 GROUP, PART = 128, 256
 #: Letters of html that a group holds about; one page may have more.
 GROUP_LETTERS = 1 << 24
+#: Letters of the names of large hosts up to which their table is sent to every executor.
+SENT = 1 << 23
 #: Pages a task gets about.
 TASK = 1000
 #: A text is template from this share of the group's matching pages, and this many pages, on; a part stands on nearly every page from FRAME on.
@@ -567,9 +569,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     counts = pages.select(host(F.col("url")).alias("_host")).groupBy("_host").agg(F.count("*").alias("n"))
     total = pages.count()
-    # Every host above PART pages; an ordinary join, which Spark can split where a host is hot.
-    large = counts.filter(F.col("n") > PART).select("_host", F.ceil(F.col("n") / PART).alias("_parts"))
-    keyed = keyed.join(large, F.col("host") == F.col("_host"), "left")
+    # Every host above PART pages.
+    large = staged(counts.filter(F.col("n") > PART).select("_host", F.ceil(F.col("n") / PART).alias("_parts")))
+    letters = large.agg(F.sum(F.length("_host") + 16)).first()[0] or 0
+    # Sent everywhere where its size allows that; else an ordinary join, which moves the pages once more.
+    keyed = keyed.join(F.broadcast(large) if letters <= SENT else large, F.col("host") == F.col("_host"), "left")
     draw = F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
     keyed = keyed.withColumn("part", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(draw, F.col("_parts"))))
     kind = pages.schema["page_id"].dataType.simpleString()
