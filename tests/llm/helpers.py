@@ -30,7 +30,8 @@ def odd(spark):
         (4, "plain words of a usual text here", "en", "a"), (None, "plain words of a usual text here", None, None), (5, long, "en", "b"),
         (6, "ÄÖ ñandú 北京 \U0001f600  x", "de", "b"), (7, "...!!!", "de", None), (8, "x", "fr", "c"),
     ]
-    return documents(spark, rows).selectExpr("*", "'clash' AS score", "1 AS size", "2L AS begin")
+    clash = ("_row", "_gone", "_size", "_id", "_copies", "_n", "_chosen", "_text", "c0", "row", "class", "place")
+    return documents(spark, rows).selectExpr("*", "'clash' AS score", "1 AS size", "2L AS begin", "map('k', 1) AS tags", *[f"'{c}' AS `{c}`" for c in clash])
 
 
 def empty(spark):

@@ -32,13 +32,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, in any case of its letters."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where unset a local one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; where unset, a local one of our own, which a cluster refuses."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context.getCheckpointDir()
         if not found:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
             own = tempfile.mkdtemp(prefix="tickerloom-")
             atexit.register(shutil.rmtree, own, ignore_errors=True)
             context.setCheckpointDir(own)
@@ -50,11 +60,18 @@ def shared_dir(spark: SparkSession) -> str:
 _stages: list[str] = []
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete all staged tables of this driver; results that were not written elsewhere are lost."""
+def begun() -> int:
+    """How many tables are staged by now: what `sweep` takes as `since`."""
+    return len(_stages)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the staged tables of this driver from the `since`-th on, but the last `keep`; results that still read them are lost."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _stages:
-        path = jvm.org.apache.hadoop.fs.Path(_stages.pop())
+    gone = _stages[since : len(_stages) - keep]
+    del _stages[since : len(_stages) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
