@@ -183,6 +183,85 @@ def test_language_of_odd_rows(spark):
     assert language.predict(empty(spark), learned).count() == 0
 
 
+def test_language_equals_brute_force(spark):
+    """Predictions from the definition: sizes of whole blocks, compressed with each dictionary."""
+    import zstandard as zstd
+
+    docs = common.read(spark, "/root/testdata/sf0.001", "documents")
+    learned = language.learn(docs)
+    rows = {r.doc_id: r for r in language.op3_language(spark, "/root/testdata/sf0.001").collect()}
+
+    def size(content, level, part):
+        given = zstd.ZstdCompressionParameters.from_level(level, format=zstd.FORMAT_ZSTD1_MAGICLESS, write_checksum=0, write_content_size=0, write_dict_id=0)
+        digested = zstd.ZstdCompressionDict(b" " * 8 + content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+        digested.precompute_compress(compression_params=given)
+        return len(zstd.ZstdCompressor(dict_data=digested, compression_params=given).compress(part))
+
+    for d in docs.collect()[:60]:
+        letters = "".join(c if c.isalpha() else " " for c in (d.text or "").lower())
+        data = f" {' '.join(letters.split())} ".encode()
+        assert data == language.folded(d.text or "") or not data.strip()
+        levels = language.SHORT_LEVELS if len(data) <= language.SHORT else language.LEVELS
+        sizes = {lang: sum(size(c, level, data[k : k + 4096]) for level in levels for k in range(0, len(data), 4096)) for lang, c in learned.items()}
+        best, following = sorted(sizes.values())[:2]
+        assert rows[d.doc_id].lang_pred == next(lang for lang, n in sizes.items() if n == best)
+        assert rows[d.doc_id].score == pytest.approx(1 / sum(2.0 ** -min(n - best, 60) for n in sizes.values()))
+        assert rows[d.doc_id].rejected == ((following - best) / best < language.MIN_MARGIN)
+
+
+def test_more_languages_than_a_group_holds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    stock = {f"l{k}": ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(40)] for k in range(9)}
+    rows = [(k, " ".join(rng.choice(stock[f"l{k % 9}"], 30)), f"l{k % 9}", None) for k in range(360)]
+    docs = documents(spark, rows)
+    want = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in language.predict(docs, language.learned(docs)).collect()}
+    assert np.mean([want[k][0] == lang for k, _, lang, _ in rows]) > 0.99
+    monkeypatch.setattr(language, "GROUP", 2)
+    got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in language.predict(docs, language.learned(docs)).collect()}
+    assert got == {k: (lang, pytest.approx(s), r) for k, (lang, s, r) in want.items()}
+
+
+def test_samples_have_a_bound_whatever_rows_an_id_has(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POSITIVES", 50)
+    monkeypatch.setattr(quality, "UNLABELLED", 70)
+    monkeypatch.setattr(language, "TEXTS", 20)
+    ids = [k for k in range(400) if crc_fold(k) != 1]
+    docs = spark.range(100_000).selectExpr(f"IF(id % 2 = 0, {ids[0]}L, NULL) AS doc_id", "concat('some text ', id) AS text", "'en' AS lang")
+    more = documents(spark, [(k, f"un texte {k} avec des mots" if k % 2 else f"a text {k} of words", "fr" if k % 2 else "en", None) for k in ids])
+    docs = docs.unionByName(more.select("doc_id", "text", "lang"))
+    p, u = quality.sample(docs, labels(spark, [(k, k % 2, 0) for k in ids] + [(ids[0], 1, 0), (None, 1, 0)]))
+    assert len(p) == 50 and len(u) == 70
+    found = language.learn(docs)
+    assert set(found) == {"en", "fr"} and found["fr"].count(b"texte") == 20 and found["en"].count(b" text ") == 20
+    only = documents(spark, [(ids[0], "the same text again", "en", None)] * 300)
+    assert language.learn(only)["en"] == language.folded("the same text again")
+
+
+def test_quality_equals_a_plain_computation(spark):
+    """The query's scores are those of the network applied to features computed text by text."""
+    docs, known = common.read(spark, SF, "documents"), common.read(spark, SF, "labels")
+    rows = {r.doc_id: r for r in quality.op4_quality(spark, SF).collect()}
+    model = quality.learn(docs, known)
+    w0, b0, w1, b1 = model.w
+    for d in docs.collect()[::9]:
+        z = np.clip((quality.features(pa.array([d.text]))[0] - model.mean) / model.scale, -8, 8)
+        logit = np.tanh(z @ w0 + b0) @ w1 + b1[0]
+        assert rows[d.doc_id].score == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-6)
+        assert rows[d.doc_id].predicted == (rows[d.doc_id].score >= 0.5)
+
+
+def test_features_equal_a_plain_computation():
+    text = "Hello hello World!! one one two*** 12 | end.\nHello hello again???"
+    f = dict(zip(quality.NAMES, quality.features(pa.array([text]))[0], strict=True))
+    low = text.lower().split()
+    pairs = list(zip(low, low[1:], strict=False))
+    size = len(text)
+    assert f["log_words"] == pytest.approx(np.log1p(len(low))) and f["word_length"] == pytest.approx(np.mean([len(w) for w in low]))
+    assert f["next_same"] == pytest.approx(sum(a == b for a, b in pairs) / len(low)) and f["top_word"] == pytest.approx(max(Counter(low).values()) / len(low))
+    assert f["distinct"] == pytest.approx(len(set(low)) / len(low) ** 0.85) and f["distinct_pairs"] == pytest.approx(len(set(pairs)) / len(pairs))
+    assert f["capitals"] == pytest.approx(sum(c.isupper() for c in text) / size) and f["digits"] == pytest.approx(2 / size) and f["bars"] == pytest.approx(1 / size)
+
+
 def test_long_texts_count_in_whole():
     learned = {"en": b" the people of this town went to the market" * 20, "fr": b" les gens de cette ville vont au march" * 20}
     usual = language.Compressors(learned, language.LEVELS)

@@ -1,9 +1,9 @@
 """Quality classification by positive-unlabelled learning with the non-negative unbiased risk.
 
 Trusted positives are training rows marked quality 1; unlabelled web text is a sample of all training rows, whatever their
-labels.  The class prior is estimated from the same two samples: the share of unlabelled text that a score threshold lets
-through, over the share of positives it lets through, is an upper bound of the prior, and the smallest such bound with its
-sampling error is taken.  A small network on features of the text then minimises
+labels.  Both are bounded (`POSITIVES`, `UNLABELLED`), whatever the rows an id has.  The class prior is estimated from the same two samples: the share of
+unlabelled text that a score threshold lets through, over the share of positives it lets through, is an upper bound of the prior, and the smallest such
+bound with its sampling error is taken.  A small network on features of the text then minimises
 
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.common import held_out, read, sums, words_of
 
-#: Bounds of the fit: expected positives and unlabelled rows of a seeded draw.
+#: Bounds of the fit: ids of trusted positives, and unlabelled rows.
 POSITIVES, UNLABELLED = 12_000, 12_000
 THRESHOLD = 0.5
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 60, 512, 4e-3, 1e-4
@@ -114,28 +114,34 @@ def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _draw(seed: int):
-    return F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed)), F.lit(1 << 30))
+    """A seeded number of a row, by id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(seed))
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features of the trusted positives and of the unlabelled text, in an order that reruns keep."""
-    known = labels.filter(~held_out("doc_id") & (F.col("quality") == 1)).select("doc_id").distinct()
-    n_positive, n_docs = known.count(), docs.filter(~held_out("doc_id")).count()
-    if not n_positive or not n_docs:
-        return np.zeros((0, len(NAMES))), np.zeros((0, len(NAMES)))
-    positive = known.filter(_draw(3) < min(1 << 30, (POSITIVES << 30) // n_positive + 1)).select(F.col("doc_id").alias("_known"))
-    some = docs.filter(~held_out("doc_id")).select("doc_id", "text")
-    # The drawn ids are POSITIVES or so: small enough to send everywhere.
-    some = some.join(F.broadcast(positive), F.col("doc_id") == F.col("_known"), "left")
-    unlabelled = _draw(5) < min(1 << 30, (UNLABELLED << 30) // n_docs + 1)
-    some = some.select("doc_id", F.col("_known").isNotNull().alias("is_p"), unlabelled.alias("is_u"), "text").filter("is_p or is_u")
-    got = featured(some, ["doc_id", "is_p", "is_u"]).toPandas()
-    if not len(got):
-        return np.zeros((0, len(NAMES))), np.zeros((0, len(NAMES)))
-    x = np.array(got["features"].tolist(), float)
-    order = np.lexsort((*x.T, got["doc_id"].fillna(-1)))
-    x, p, u = x[order], got["is_p"].to_numpy(bool)[order], got["is_u"].to_numpy(bool)[order]
-    return x[p], x[u]
+    """Features of the trusted positives and of the unlabelled text, in an order that reruns keep.
+
+    At most POSITIVES ids, one text each, and at most UNLABELLED rows, repeated rows once: the least by hash.
+    """
+    spark, nothing = docs.sparkSession, np.zeros((0, len(NAMES)))
+    known = labels.filter(~held_out("doc_id") & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    ids = known.orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), "doc_id").limit(POSITIVES).collect()
+    given = docs.filter(~held_out("doc_id")).select("doc_id", "text")
+    draws = given.select(_draw(5).alias("draw")).distinct().orderBy("draw").limit(UNLABELLED).collect()
+    if not ids or not draws:
+        return nothing, nothing
+    # Both are of bounded size: small enough to send everywhere.
+    positive = F.broadcast(spark.createDataFrame(ids, f"_known {labels.schema['doc_id'].dataType.simpleString()}"))
+    drawn = F.broadcast(spark.createDataFrame(draws, "_drawn long"))
+    text = F.min(F.struct(_draw(5).alias("draw"), F.col("text").alias("text"))).alias("first")
+    p = given.join(positive, F.col("doc_id") == F.col("_known")).groupBy("doc_id").agg(text)
+    u = given.withColumn("draw", _draw(5)).join(drawn, F.col("draw") == F.col("_drawn")).groupBy("draw").agg(F.min("text").alias("text"))
+    both = p.select(F.lit(True).alias("is_p"), "first.draw", "first.text").unionByName(u.select(F.lit(False).alias("is_p"), "draw", "text"))
+    got = featured(both, ["is_p", "draw"]).toPandas()
+    x, is_p = np.array(got["features"].tolist(), float).reshape(len(got), len(NAMES)), got["is_p"].to_numpy(bool)
+    order = np.lexsort((*x.T, got["draw"].to_numpy()))
+    x, is_p = x[order], is_p[order]
+    return x[is_p], x[~is_p]
 
 
 class Network:
