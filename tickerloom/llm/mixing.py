@@ -7,9 +7,9 @@ by the highest quotients v / (2i + 1), first across sources, then across the sha
 order picks the blocks of a shard.  A block is a range of the words of its shard, laid end to end in a seeded order
 of documents, so a document takes the words its blocks cover, at most `most` times.
 
-Edge cases: a null or blank text has size 0 and takes nothing; an empty table gives no rows; repeated rows are rows of their
-own, with one seeded place each; a null doc_id is ordered as the empty text; columns other than doc_id, text and
-source are ignored by `mix` and kept by `apply_mix`.
+Edge cases: a null or blank text has size 0 and takes nothing; an empty table gives no rows; repeated rows are rows of their own, and share a
+seeded place until they hold more than `CROWD` words; a null doc_id is placed as the empty text; columns other than doc_id, text and source are ignored by
+`mix` and kept by `apply_mix`.  The table of sources, a row each, is ordered and summed in one task, as weights go by rank; everything else is dealt by shard.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tickerloom.llm.common import read, staged
+from tickerloom.llm.common import free_name, read, staged
 
 WEIGHTS = (3, 1, 2)
 SHARE_NUM, SHARE_DEN = 3, 2
@@ -26,19 +26,28 @@ MOST = 2
 #: Words in a block, and about how many words a shard of a source holds.
 BLOCK_WORDS = 128
 SHARD_WORDS = 1 << 20
+#: Words of rows with one id and text from which they are dealt to several places.
+CROWD = 1 << 18
 SEED = "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size of every document: the number of words in its text."""
+def sized(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """row (`number`, or one of its own), doc_id, source, size (the words of its text) and seeded place of every document."""
+    row = F.monotonically_increasing_id() if number is None else F.col(number)
     words = F.regexp_count(F.col("text"), F.lit(WORD))
-    return docs.select("doc_id", "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+    # Rows of one id (or none) lie apart where their texts differ.
+    name = F.concat_ws(":", F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    return docs.select(row.alias("row"), "doc_id", "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"), F.md5(name).alias("place"))
 
 
-def placed() -> Column:
-    """The seeded place of a document, by doc_id."""
-    return F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+def spread(sizes: DataFrame) -> DataFrame:
+    """sizes, where rows that share a place and hold more than CROWD words are dealt to places of their own, so that no shard has to take them all."""
+    crowd = sizes.groupBy("place").agg(F.count("*").alias("n"), F.sum("size").alias("words")).filter(F.expr(f"n > 1 AND words > {CROWD}"))
+    crowd = staged(crowd.select(F.col("place").alias("_place"), F.ceil(F.col("words") / CROWD).cast("long").alias("_parts")))
+    salted = F.md5(F.concat_ws(":", "place", F.pmod(F.xxhash64("row"), F.col("_parts"))))
+    rows = sizes.join(crowd, F.col("place") == F.col("_place"), "left")
+    return rows.withColumn("place", F.when(F.col("_parts").isNull(), F.col("place")).otherwise(salted)).drop("_place", "_parts")
 
 
 def sharded(n_shards: Column) -> Column:
@@ -104,8 +113,12 @@ def apportion(rows: DataFrame, seats: str, votes: str, group: list[str], key: st
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document."""
-    sizes = sized(docs)
-    sizes = staged(sizes.withColumn("place", placed()))
+    return dealt(sized(docs)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def dealt(sizes: DataFrame) -> DataFrame:
+    """row, doc_id, source, size, source_size, target, place, shard, taken of every row of `sized`."""
+    sizes = staged(spread(staged(sizes)))
     want = targets(sizes)
     ids = Window.orderBy(F.col("source").asc_nulls_last())
     blocks = F.floor(F.col("target") / BLOCK_WORDS + 0.5).cast("long")
@@ -117,11 +130,11 @@ def mix(docs: DataFrame) -> DataFrame:
 
     # One row a source: Spark sends it everywhere where it is small, and can split a hot source where it is not.
     rows = sizes.join(want, sizes["source"].eqNullSafe(want["source"])).select(
-        sizes["doc_id"], sizes["source"], "size", "place", "source_no", "source_size", "target", "quota", "n_shards"
+        "row", "doc_id", sizes["source"], "size", "place", "source_no", "source_size", "target", "quota", "n_shards"
     )
     rows = rows.withColumn("shard", sharded(F.col("n_shards")))
     # Where each document begins in its shard: a shard holds about SHARD_WORDS words, so its rows fit one task.
-    line = Window.partitionBy("source_no", "shard").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source_no", "shard").orderBy("place", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("size").over(line), F.lit(0)))
     shards = rows.groupBy("source_no", "shard", "quota").agg(F.sum("size").alias("shard_size"))
     shards = apportion(shards, "quota", "shard_size", ["source_no"], "shard", "shard_quota")
@@ -151,33 +164,29 @@ def mix(docs: DataFrame) -> DataFrame:
     got = extra_words(F.col("a1"), F.col("m1"), F.col("tail")) + F.col("m1") - extra_words(F.col("a0"), F.col("m0"), F.col("begin"))
     full = full.withColumn("taken", F.col("whole") * F.col("size") + got)
     empty = rows.filter("size = 0").withColumn("taken", F.lit(0))
-    out = ["doc_id", "source", "size", "source_size", "target", F.col("taken").cast("long").alias("taken")]
+    out = ["row", "doc_id", "source", "size", "source_size", "target", "place", "shard", F.col("taken").cast("long").alias("taken")]
     return full.select(*out).unionByName(empty.select(*out))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus in the columns of docs: each document taken / size times, rounded up or down.
+    """The mixed corpus in the columns of docs: each row taken / size times, rounded up or down.
 
     Along a shard, shortest documents first, a seeded running remainder decides, so the words a shard delivers miss those taken by less than two of its
-    longest documents.  Repeated rows share what their places took, each by a draw of its own from its place in the input.
+    longest documents.  Rows are told apart by a number of their own; columns may have any name and type.
     """
-    mixed = mix(docs).filter("size > 0").withColumn("place", placed())
-    mixed = mixed.withColumn("shard", sharded(F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)).cast("long")))
+    number, times, one = (free_name(docs, stem) for stem in ("row", "times", "copy"))
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()))
+    mixed = dealt(sized(rows, number)).filter("size > 0")
     start = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(SEED), F.lit("start"), "source", "shard")), 1, 8), 16, 10).cast("double") / (1 << 32)
-    line = Window.partitionBy("source", "shard").orderBy("size", "place", "taken")
+    line = Window.partitionBy("source", "shard").orderBy("size", "place", "row")
     rest = (F.col("taken") % F.col("size")) / F.col("size")
     upto = F.sum(rest).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ahead = F.coalesce(F.sum(rest).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    times = F.floor(F.col("taken") / F.col("size")) + F.floor(start + upto) - F.floor(start + ahead)
-    mixed = mixed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), times.alias("_times"))
-    copies = mixed.groupBy("_id", "_source", "_size").agg(F.avg("_times").alias("_copies"))
-    rows = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_draw", F.pmod(F.xxhash64(F.lit(SEED), F.monotonically_increasing_id()), F.lit(1 << 30)) / (1 << 30))
-    same = rows["doc_id"].eqNullSafe(copies["_id"]) & rows["source"].eqNullSafe(copies["_source"]) & (rows["_size"] == copies["_size"])
-    whole = F.floor("_copies")
-    mine = (whole + (F.col("_draw") < F.col("_copies") - whole).cast("long")).cast("int")
-    rows = rows.join(copies.filter("_copies > 0"), same).withColumn("_n", mine).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return rows.select(*[rows[c] for c in docs.columns])
+    count = F.floor(F.col("taken") / F.col("size")) + F.floor(start + upto) - F.floor(start + ahead)
+    chosen = mixed.select(F.col("row").alias("_chosen"), count.cast("int").alias(times)).filter(F.col(times) > 0)
+    chosen = chosen.withColumnRenamed("_chosen", free_name(docs, "chosen"))
+    taken = rows.join(chosen, F.col(number) == F.col(free_name(docs, "chosen")))
+    return taken.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +196,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS place
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS place
   FROM documents
 ), by_source AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
