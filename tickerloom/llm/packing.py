@@ -5,7 +5,8 @@ falls into has a Hilbert key.  Documents are range-sorted by key and their token
 holds neighbours on the curve; sequences are consecutive stretches of `SEQUENCE` tokens.  What remains at the very end becomes sequences of
 powers of two, so nothing is padded.
 
-Token ids are those of the public byte-level vocabulary (`tokenizers` and `tiktoken` agree on them, which a test checks), then `END`.
+Token ids are those that `tokenizers` gives with the public byte-level vocabulary, the names of its special tokens in a text included, then `END`; they come
+from tiktoken with the same ranks, and a test compares both.
 
 Edge cases: a null or empty text is the one token END; a very long text spans many sequences; repeated rows and null doc_ids are packed
 like any other, each row with places of its own; an empty table gives no rows; other columns are ignored.
@@ -26,6 +27,8 @@ from tickerloom.llm.secrets import VOCABULARY, encoding
 
 SEQUENCE = 2048
 END = 1
+#: Special tokens of the vocabulary.
+SPECIAL = (("<|endoftext|>", 50256),)
 BUCKETS, DIMS, BITS = 256, 6, 8
 _PROJECT = np.random.default_rng(6).normal(size=(BUCKETS, DIMS))
 
@@ -48,11 +51,11 @@ def tokenized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """row (a number of its own), doc_id, key, n, ids (unsigned 16-bit, little-endian; END included) of every document."""
 
     def rows(batches):
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(vocabulary, SPECIAL).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [np.array([*encode(t or ""), END], "<u2") for t in part.column(2).to_pylist()]
+                ids = [np.array([*encode(t or "", allowed_special="all"), END], "<u2") for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(curve_keys(part.column(2))), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
                     ["row", "doc_id", "key", "n", "ids"],

@@ -40,15 +40,15 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MASK = "[secret]"
 
 
-@lru_cache(maxsize=2)
-def encoding(name: str = VOCABULARY):
-    """The tiktoken encoding of a public vocabulary file, loaded once a worker."""
+@lru_cache(maxsize=4)
+def encoding(name: str = VOCABULARY, special: tuple[tuple[str, int], ...] = ()):
+    """The tiktoken encoding of a public vocabulary file, with the given special tokens, loaded once a worker."""
     import public_tokenizers
     import tiktoken
 
     with open(public_tokenizers.path(name), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
 def is_identifier(run: str) -> bool:
@@ -78,8 +78,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str, base: list[tuple[int, int, int]], name: str = VOCABULARY) -> list[tuple[int, int, int]]:
     """The base spans and those the token-efficiency test adds."""
     found = list(base)
+    # Runs come by start, and so do base spans: of those that start no later than a run, the farthest end tells whether one holds it.
+    at, end = 0, -1
     for m in DENSE.finditer(text):
-        if not any(a <= m.start() and m.end() <= b for a, _, b in base) and is_dense(m[0], name):
+        while at < len(base) and base[at][0] <= m.start():
+            end = max(end, base[at][2])
+            at += 1
+        if m.end() > end and is_dense(m[0], name):
             found.append((m.start(), 3, m.end()))
     return sorted(found)
 
