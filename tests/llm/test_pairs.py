@@ -1,18 +1,21 @@
 """Near duplicates, nearest neighbours, page text and the pipeline, against brute force."""
 
 import random
+import zlib
 from collections import Counter
 from itertools import combinations
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.helpers import documents, empty, odd, words
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tickerloom.llm import common, nearest, neardup, wrapper
+from tickerloom.llm import common, mixing, nearest, neardup, quality, secrets, wrapper
 
 SF = "/root/testdata/sf0.001"
 
@@ -128,11 +131,22 @@ def test_near_duplicates_of_odd_rows(spark):
     assert by[(4, 4, True, True)] == 2 and by[(None, None, True, True)] == 1 and by[(2, 2, True, False)] == 1
     assert neardup.components(empty(spark)).count() == 0
     kept = neardup.deduplicate(docs)
-    assert kept.columns == docs.columns and kept.count() == 9
+    # The three rows of one text leave one; null, empty and blank texts all stay.
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "6", "7", "8"]
+    assert neardup.deduplicate(empty(spark)).count() == 0
     two = documents(spark, [(1, "a b c d e f g h", None, None), (1, "other words here now and then again", None, None), (2, "a b c d e f g h", None, None)])
     assert sorted((r.doc_id, r.component_id) for r in neardup.components(two).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
+def test_deduplicate_goes_by_row_not_by_id(spark):
+    a, b, c, d = ("one two three four five six seven eight nine", "quite another text with words of its own here", "a third one that is not like them at all", "the fourth of these texts stands alone too")
+    docs = documents(spark, [(1, a, None, None), (1, b, None, None), (2, b, None, None), (0, b, "x", None), (None, c, None, None), (None, d, None, None), (3, c, None, None)])
+    kept = neardup.deduplicate(docs)
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", a), ("0", b), ("3", c), ("None", d)])
+    same = documents(spark, [(7, a, "l", "s")] * 50 + [(8, None, None, None)] * 3)
+    assert sorted(map(str, (r.doc_id for r in neardup.deduplicate(same).collect()))) == ["7", "8", "8", "8"]
+
+
 # Nearest neighbours --------------------------------------------------------------------------------------
 
 
@@ -165,6 +179,37 @@ def test_recall(spark):
     assert hits >= 0.9 * 10 * len(queries)
 
 
+def recall(spark, vectors, every):
+    rows = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors.astype(np.float32))], "vec_id long, embedding array<float>, label int")
+    got = nearest.search(rows, F.col("vec_id") % every == 0).collect()
+    exact = vectors.astype(np.float32).astype(float)
+    hits = total = 0
+    for q in range(0, len(exact), every):
+        d = np.sqrt(((exact - exact[q]) ** 2).sum(1))
+        d[q] = np.inf
+        near = set(np.lexsort((np.arange(len(d)), d))[:10].tolist())
+        hits += len(near & {r.vec_id for r in got if r.query_id == q})
+        total += 10
+    return hits / total
+
+
+def test_recall_where_windows_are_a_small_share(spark, monkeypatch):
+    """12,000 vectors with structure: windows of 0.2 % of the rows to either side suffice, so it is the curves that find them."""
+    rng = np.random.default_rng(6)
+    low = rng.normal(size=(12_000, 3)) @ rng.normal(size=(3, 24)) + 0.01 * rng.normal(size=(12_000, 24))
+    monkeypatch.setattr(nearest, "SHARE", 0.002)
+    monkeypatch.setattr(nearest, "LEAST", 24)
+    assert recall(spark, low, 300) >= 0.9
+
+
+def test_recall_without_structure_beyond_the_least_window(spark):
+    """20,000 vectors without any: SHARE, not LEAST, rules."""
+    rng = np.random.default_rng(9)
+    assert nearest.SHARE * 20_000 > 2 * nearest.LEAST
+    v = rng.normal(size=(20_000, 16))
+    assert recall(spark, v / np.linalg.norm(v, axis=1, keepdims=True), 500) >= 0.9
+
+
 def test_odd_vectors(spark):
     one = [1.0, 2.0]
     rows = [(0, one, 1), (1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, None], 1), (5, [1.0, float("nan")], 1), (6, [float("inf"), 1.0], None), (7, [1.0, 4.0], 1)]
@@ -376,18 +421,43 @@ def test_pipeline_stages(spark):
         seen[name] = docs, out
         docs = out
         assert out.columns == columns or name == corpus_pipeline.STAGES[-1][0]
+    before, after = seen["quality"]
+    model = quality.learn(before, common.read(spark, SF, "labels"))
+    good = {r.doc_id for r in quality.score(before, model, ["doc_id"]).filter("score >= 0.5").collect()}
+    assert {r.doc_id for r in after.collect()} == good
     before, after = seen["near_copies"]
     texts = [(r.doc_id, r.text) for r in before.collect()]
     want, _ = components(texts, 5, 80)
     assert {r.doc_id for r in after.collect()} == {i for i, root in want.items() if i == root}
     before, after = seen["secrets"]
-    assert before.count() == after.count() and "token = \"[secret]" not in "".join(r.text for r in before.collect())
+    clean = {r.doc_id: r.text for r in after.collect()}
+    for r in before.collect():
+        spans = secrets.all_spans(r.text, secrets.base_spans(r.text))
+        merged = []
+        for start, _, end in spans:
+            if merged and start < merged[-1][1]:
+                merged[-1][1] = max(end, merged[-1][1])
+            else:
+                merged.append([start, end])
+        want = r.text
+        for start, end in reversed(merged):
+            want = want[:start] + "[secret]" + want[end:]
+        assert clean[r.doc_id] == want
     before, after = seen["mixing"]
     times = Counter(r.doc_id for r in after.collect())
     assert max(times.values()) <= 2 and set(times) <= {r.doc_id for r in before.collect()}
     size = {r.doc_id: len(words(r.text)) for r in before.collect()}
     assert sum(size[i] * n for i, n in times.items()) == pytest.approx(1.5 * sum(size.values()), rel=0.1)
-    _, packed = seen["packing"]
+    for source in {r.source for r in before.collect()}:
+        mine = {r.doc_id for r in before.collect() if r.source == source}
+        target = next(r.target for r in mixing.mix(before).collect() if r.source == source)
+        assert abs(sum(size[i] * times[i] for i in mine) - target) <= 2 * max(size[i] for i in mine) + 2 * mixing.BLOCK_WORDS
+    before, packed = seen["packing"]
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: np.array([*exact.encode(r.text, add_special_tokens=False).ids, 1], "<u4") for r in before.collect()}
+    laid = packed.collect()
+    assert sum(r.length for r in laid) == sum(len(ids[r.doc_id]) for r in before.collect())
+    assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length]) == r.ids_crc32 for r in laid)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
@@ -404,4 +474,8 @@ def test_run_and_registry(spark):
     from tickerloom.llm import registry
 
     assert len(registry.queries()) == 11 and set(registry.oracle_sql()) <= set(registry.queries())
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    before = common.begun()
+    packed = corpus_pipeline.run(spark, SF)
+    # Of four stages only the last one's result is left, and what packing reads.
+    assert packed.count() > 0 and common.begun() - before <= 4
+    common.sweep(spark)

@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tickerloom.llm.common import mix, read, staged, words_of
+from tickerloom.llm.common import free_name, mix, read, staged, words_of
 
 PERMUTATIONS = 60
 MISS = 1e-4
@@ -300,7 +299,9 @@ def components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
     sign, labels = classes_of(docs, words, percent)
     classes = sign.filter("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
-    whole = classes.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Both written, so that the join deals them anew and a large component's rows can be split.
+    classes = staged(classes)
+    whole = staged(classes.groupBy("component").agg(F.min("least").alias("component_id")))
     classes = staged(classes.join(whole, "component").select("class", "component_id"))
     out = sign.filter("n > 0 and doc_id is not null").join(classes, "class").select("doc_id", "n", "component_id")
     alone = sign.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -310,14 +311,25 @@ def components(docs: DataFrame, words: int = 3, percent: int = 85) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component; of repeated rows of one doc_id, one stays."""
-    found = components(docs, words, percent)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    # Rows that repeat a kept doc_id: one row each, by its columns in order; rows without an id all stay.
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    one = left.filter("doc_id is not null").withColumn("_row", F.row_number().over(order)).filter("_row = 1").drop("_row")
-    return one.unionByName(left.filter("doc_id is null")).select(*docs.columns)
+    """docs with one row of each component: a row of its least doc_id, of several the least by (hash of text, number in the input).
+
+    Rows are told apart by a number of their own, never by doc_id: two texts with one id are two texts.  Rows without words are linked with nothing
+    and all stay; rows with a null doc_id are linked like any other and come last.  Columns may have any name and type.
+    """
+    number = free_name(docs, "row")
+    rows = staged(docs.withColumn(number, F.monotonically_increasing_id()))
+    given = rows.select(F.col(number).alias("doc_id"), "text")
+    sign, labels = classes_of(given, words, percent)
+    found = sign.filter("n > 0").select(F.col("doc_id").alias("_n"), "class")
+    ids = rows.select(F.col(number).alias("_n"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    # A class's best row first, then a component's: both aggregate ahead of the shuffle, so no group is ever gathered.
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text").alias("text"), F.col("_n").alias("n"))
+    best = found.join(ids, "_n").groupBy("class").agg(F.min(order).alias("best"))
+    best = best.join(labels, "class", "left").groupBy(F.coalesce("component", "class").alias("component")).agg(F.min("best").alias("best"))
+    # Written, so that its size is known: where few rows go, their numbers are sent everywhere and no text moves.
+    gone = free_name(docs, "gone")
+    leave = staged(found.join(best.select(F.col("best.n").alias("_n")), "_n", "left_anti").select(F.col("_n").alias(gone)))
+    return rows.join(leave, F.col(number) == F.col(gone), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
