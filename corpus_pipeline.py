@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, one operator a stage.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs.  All but the
-last return the columns of documents.  Null and empty texts pass through as each operator defines; an empty table stays empty.
+last return the columns of documents, which may have any name and type.  Null and empty texts pass through as each operator defines; an empty table stays
+empty.  Rows are told apart by themselves, never by doc_id: two texts with one id are two documents.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tickerloom.llm import mixing, neardup, packing, quality, secrets
-from tickerloom.llm.common import read, staged
+from tickerloom.llm.common import begun, read, staged, sweep
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The rows of the last stage.  What a stage leaves in the shared folder besides its result goes with the next one; the rest, once `common.sweep` is called."""
+    docs, since = read(spark, sf_dir, "documents"), begun()
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))
+        sweep(spark, since, keep=1)
     return STAGES[-1][1](spark, docs, sf_dir)
