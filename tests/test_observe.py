@@ -78,10 +78,11 @@ def test_summary_lines(spark):
     rows = [("A", 1, 1, "10"), ("A", 2, 2, "10.5"), ("B", 2, 3, "0")]
     seen = observe.replay(frame(spark, rows)).selectExpr("*", "'USD' AS currency")
     lines = {r.batch_id: r.lines for r in report.summary_lines(seen, "batch_id").collect()}
+    assert [r.line for r in report.report_lines(seen, "batch_id").filter("batch_id = 2").orderBy("ordinal").collect()] == lines[2].split("\n")
     assert lines[2] == "- A: price 10.5 USD; previous 10; change 0.5; percent 5.00%\n- B: price 0 USD; previous n/a; change n/a; percent n/a%"
     prompt = report.summary_prompt(lines[2], None, (["A", "B"], "why"))
     assert "Symbols: A, B. Rationale: why" in prompt and lines[2] in prompt and report.NO_REQUEST in prompt
-    assert "The request: banks" in report.planning_prompt("banks")
+    assert "Request: banks" in report.planning_prompt("banks") and "uranium the feed has CCJ" in report.planning_prompt("banks")
 
 
 def test_replay_plan_shuffles_a_symbol_in_parts(spark):

@@ -7,8 +7,8 @@ from tickerloom.plans import symbols as plans
 
 
 def test_mixed_list(spark):
-    got = plans.one(spark, '{"symbols":["jpm","bac.us","WFC","big banks","JPM"],"rationale":"large US banks"}')
-    assert got == (["JPM", "BAC", "WFC"], "large US banks")
+    got = plans.one(spark, '{"symbols":["deere","de.us","AGCO","two makers of tractors","DEERE"],"rationale":" farm machines "}')
+    assert got == (["DEERE", "DE", "AGCO"], "farm machines")
 
 
 def test_fenced_and_indented(spark):

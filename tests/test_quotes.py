@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions import numbers, text
 from tickerloom.sources import feed, quotes
 
-AT = datetime(2026, 5, 12, 22, 0, tzinfo=UTC)
+AT = datetime(2031, 2, 6, 21, 30, tzinfo=UTC)
 HEADER = "Symbol,Date,Time,Open,High,Low,Close,Volume\n"
 
 
@@ -19,15 +19,15 @@ def parsed(spark, body, requested=("IBM",)):
 
 
 def test_header_binds_by_name(spark):
-    row = parsed(spark, HEADER + "IBM.US,2026-05-12,22:00:10,282.49,287.75,281.28,283.04,4100000\n").first()
-    assert (row.status, row.symbol, row.market_symbol, row.price, row.currency, row.volume) == ("ok", "IBM", "IBM.US", Decimal("283.040000"), "USD", 4100000)
+    row = parsed(spark, HEADER + "IBM.US,2031-02-06,21:30:05,41.07,43.5,40.9,42.25,730011\n").first()
+    assert (row.status, row.symbol, row.market_symbol, row.price, row.currency, row.volume) == ("ok", "IBM", "IBM.US", Decimal("42.250000"), "USD", 730011)
     row = parsed(spark, "Close,Symbol,Date\r\n5,ibm.us ,d\r\n").first()
     assert (row.price, row.symbol, row.quote_date, row.quote_time, row.open, row.volume) == (Decimal("5.000000"), "IBM", "d", "", None, None)
 
 
 def test_headerless(spark):
-    row = parsed(spark, "IBM.US,2026-05-13,16:44:29,217.74,218.31,212.45,212.61,1542169").first()
-    assert (row.symbol, row.price, row.quote_time, row.high) == ("IBM", Decimal("212.610000"), "16:44:29", Decimal("218.310000"))
+    row = parsed(spark, "IBM.US,2031-02-07,09:01:02,8.5,8.75,8.25,8.625,99").first()
+    assert (row.symbol, row.price, row.quote_time, row.high) == ("IBM", Decimal("8.625000"), "09:01:02", Decimal("8.750000"))
 
 
 def test_a_lower_case_header_is_data_with_a_bad_price(spark):
@@ -35,6 +35,17 @@ def test_a_lower_case_header_is_data_with_a_bad_price(spark):
     assert [r.status for r in rows] == ["bad_price", "ok"]
 
 
+def test_dates_and_times_are_stripped(spark):
+    row = parsed(spark, "IBM.US, 2031-02-06 ,\t21:30:05 ,1,1,1, 1 ,1").first()
+    assert (row.quote_date, row.quote_time, row.price) == ("2031-02-06", "21:30:05", 1)
+
+
+def test_lines_are_cut_into_fields_once(spark):
+    """In the plan, as in the code: the lines of a body once, no regular expression a field."""
+    plan = parsed(spark, HEADER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("split(") == 1 and plan.count("regexp_replace") <= 2
+
+
 def test_no_data_is_no_quote(spark):
     found = parsed(spark, "UALF.US,N/D,N/D,N/D,N/D,N/D,N/D,N/D", ["UALF"])
     assert quotes.usable(found).count() == 0

@@ -158,15 +158,15 @@ def quote_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.parse(feed_responses(spark, sf_dir, broken=True)).select("response_id", "status")
 
 
-@query("""WITH used AS (SELECT event_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS batch_id,
-  event_type <> 'error' AND user_id % 97 = 0 AS ok FROM events)
-SELECT batch_id, count(*) FILTER (WHERE ok) AS quotes, count(*) FILTER (WHERE ok) = 0 AS is_empty FROM used GROUP BY batch_id""")
+@query("""WITH used AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS VARCHAR) || ' ' || user_id AS response, event_type <> 'error' AND event_id % 7 <> 0 AND event_id % 11 <> 0 AS ok FROM events)
+SELECT response, count(*) FILTER (WHERE ok) AS quotes, count(*) FILTER (WHERE ok) = 0 AS is_empty FROM used GROUP BY response""")
 def batch_emptiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which days have no usable quote of the symbols watched (those divisible by 97)."""
-    rows = event_quotes(spark, sf_dir).withColumn("response_id", F.col("batch_id"))
-    ok = (F.col("event_type") != "error") & (F.col("symbol").cast("long") % 97 == 0)
-    parsed = rows.withColumn("status", F.when(ok, "ok").otherwise("no_data"))
-    return feed.emptiness(parsed, rows.select("response_id").distinct()).withColumnRenamed("response_id", "batch_id")
+    """Which responses, a day and symbol each, have no usable quote: by the status of every one of their rows."""
+    rows = event_quotes(spark, sf_dir).select("ordinal", F.concat_ws(" ", F.col("batch_id").cast("string"), "symbol").alias("response"))
+    statuses = feed.parse(feed_responses(spark, sf_dir, broken=True)).select(F.col("response_id").alias("ordinal"), "status")
+    parsed = rows.join(statuses, "ordinal").select(F.col("response").alias("response_id"), "status")
+    asked = rows.select(F.col("response").alias("response_id")).distinct()
+    return feed.emptiness(parsed, asked).withColumnRenamed("response_id", "response")
 
 
 @query("""SELECT c_custkey AS pos, 'C' || c_custkey AS symbol FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')""")
@@ -204,11 +204,11 @@ def llm_symbol_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_symbols(spark, sf_dir).select("p_partkey", ticker.alias("ticker"), ticker.isNotNull().alias("is_valid"))
 
 
-@query("""SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_order FROM orders GROUP BY ALL""")
+@query("""SELECT o_custkey || ' ' || o_orderpriority AS value, min(o_orderkey) AS first_order FROM orders GROUP BY ALL""")
 def dedupe_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct values in order of their first place: each customer's priorities and the order that brought them."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderkey")
-    return rows.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first_order"))
+    """Distinct values with their first place: each customer's priorities and the order that brought them."""
+    rows = table(spark, sf_dir, "orders").select(F.concat_ws(" ", F.col("o_custkey").cast("string"), "o_orderpriority").alias("value"), F.col("o_orderkey").alias("first_order"))
+    return observe.first_seen(rows, "value", "first_order")
 
 
 @query("""WITH t AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'N/D' WHEN 2 THEN '4100000.0' ELSE CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) END AS raw FROM events)
@@ -253,14 +253,16 @@ def plan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plans.parse(part_replies(spark, sf_dir)).select("p_brand", "status", "rationale")
 
 
-@query(f"""WITH {PART_PLANS} SELECT l.p_brand, string_agg(s, ',' ORDER BY pos) AS symbols FROM listed l GROUP BY l.p_brand""")
+@query(f"""WITH {PART_PLANS}
+SELECT l.p_brand, CASE WHEN n <= 15 THEN string_agg(s, ',' ORDER BY pos) END AS symbols FROM listed l JOIN planned USING (p_brand) GROUP BY l.p_brand, n
+UNION ALL SELECT 'of ' || p_partkey, CASE WHEN p_size % 9 = 0 THEN 'KO' ELSE 'KO,' || upper(substr(p_type, 1, 1)) || (p_size % 9) END FROM part""")
 def plan_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tickers of each reply, first seen first."""
-    rows = plans.parse(part_replies(spark, sf_dir))
-    raw = F.try_variant_get(F.try_parse_json(plans.json_object(F.col("reply"))), "$.symbols", "array<variant>")
-    texts = F.transform(F.filter(raw, plans.is_text), lambda v: text.plan_symbol(F.try_variant_get(v, "$", "string")))
-    every = plans.first_seen(F.filter(texts, lambda s: s.isNotNull()))
-    return rows.select("p_brand", F.array_join(every, ",").alias("symbols"))
+    """The tickers of each reply, first seen first, as the plan parser gives them: none of a brand with too many, and of one part each."""
+    first = F.concat(F.lit('"ko", "'), F.substring("p_type", 1, 1), (F.col("p_size") % 9).cast("string"), F.lit('.us", "KO"'))
+    listed = F.when(F.col("p_size") % 9 == 0, F.lit('"KO.US", " ko", "1X"')).otherwise(first)
+    one = table(spark, sf_dir, "part").select(F.concat(F.lit("of "), F.col("p_partkey").cast("string")).alias("p_brand"), listed.alias("_listed"))
+    replies = part_replies(spark, sf_dir).unionByName(one.select("p_brand", reply_of("_listed").alias("reply")))
+    return plans.parse(replies).select("p_brand", F.array_join("symbols", ",").alias("symbols"))
 
 
 REPLIES = [
@@ -274,19 +276,25 @@ REPLIES = [
 ]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({n}, '{status}', '{why}')" for n, _, status, why in REPLIES) + ") AS t(reply_id, status, rationale)")
+@query("WITH replies(reply_id, status, rationale) AS (VALUES " + ", ".join(f"({n}, '{status}', '{why}')" for n, _, status, why in REPLIES) + f""")
+SELECT p_partkey, status, rationale || CASE WHEN rationale = '' THEN '' ELSE ' of ' || p_partkey END AS rationale FROM part JOIN replies ON reply_id = 1 + p_partkey % {len(REPLIES)}""")
 def plan_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All statuses of replies, and rationales of every kind."""
-    rows = spark.createDataFrame([(n, reply) for n, reply, _, _ in REPLIES], "reply_id int, reply string")
-    return plans.parse(rows).select("reply_id", "status", "rationale")
+    """All statuses of replies, and rationales of every kind: each part is answered with one of them."""
+    reply = F.element_at(F.array(*[F.lit(text) for _, text, _, _ in REPLIES]), (1 + F.col("p_partkey") % len(REPLIES)).cast("int"))
+    tail = F.concat(F.lit(" of "), F.col("p_partkey").cast("string"))
+    # The rationales of the stock, each followed by the part's number.
+    for why in sorted({why for _, _, _, why in REPLIES if why}):
+        reply = F.replace(reply, F.lit(why), F.concat(F.lit(why), tail))
+    rows = table(spark, sf_dir, "part").select("p_partkey", reply.alias("reply"))
+    return plans.parse(rows).select("p_partkey", "status", "rationale")
 
 
-@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'A' || user_id ELSE CAST(user_id AS VARCHAR) END AS symbol FROM events""")
+@query("""SELECT event_id, CASE WHEN user_id % 2 = 0 THEN user_id || '.US' ELSE CAST(user_id AS VARCHAR) END AS symbol FROM events""")
 def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Market symbols under the names they were asked for, where they were."""
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat(F.col("user_id").cast("string"), F.lit(".US")).alias("market_symbol"), "user_id")
-    asked = rows.filter("user_id % 2 = 0").select("market_symbol", F.concat(F.lit("A"), F.col("user_id").cast("string")).alias("alias")).distinct()
-    return rows.join(asked, "market_symbol", "left").select("event_id", F.coalesce("alias", text.without_us(F.col("market_symbol"))).alias("symbol"))
+    """Market symbols under the names they were asked for, the last one that fits, where they were."""
+    user = F.col("user_id").cast("string")
+    asked = F.when(F.col("user_id") % 2 == 0, F.array(user, F.lit("x"), F.concat(F.lit(" "), user, F.lit(".us")))).otherwise(F.array(F.lit("y"), F.lit(" ")))
+    return table(spark, sf_dir, "events").select("event_id", feed.alias(F.concat(user, F.lit(".US")), asked).alias("symbol"))
 
 
 @query(f"""WITH {FEED}
@@ -323,20 +331,63 @@ def observation_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All observations stored by batch, and read back."""
     path = scratch(spark)
-    store.backfill(path, observe.replay(event_quotes(spark, sf_dir)))
+    store.backfill(spark, path, observe.replay(event_quotes(spark, sf_dir)))
     return store.history(spark, path).select("batch_id", "ordinal", "symbol", "price", "previous_price", "price_change", "percent_change")
 
 
-@query(f"""WITH {REPLAY} SELECT ordinal AS volume, symbol, CAST(price AS DECIMAL(18,6)) AS price, CAST(previous_price AS DECIMAL(18,6)) AS previous_price, price_change, percent_change,
-  'day "' || batch_id || '",' || chr(10) || 'closed' AS run_summary FROM observed""")
+@query(f"""WITH {FEED}, halves AS (SELECT *, CASE WHEN batch_id % 2 = 0 THEN 1 ELSE 2 END AS run FROM feed),
+saved AS (SELECT symbol, arg_max(price, ordinal) AS previous_price FROM halves WHERE run = 1 GROUP BY symbol),
+seen AS (SELECT h.*, CASE WHEN run = 2 THEN s.previous_price END AS previous_price, h.cents AS pc, CAST(CASE WHEN run = 2 THEN s.previous_price END * 100 AS HUGEINT) AS vc FROM halves h LEFT JOIN saved s USING (symbol))
+SELECT CAST(run AS BIGINT) AS batch_id, ordinal, symbol, CAST(price AS DECIMAL(18,6)) AS price, CAST(previous_price AS DECIMAL(18,6)) AS previous_price,
+  CAST(price - previous_price AS DECIMAL(19,6)) AS price_change, {PERCENT} AS percent_change FROM seen""")
+def append_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of raw quotes appended to a store, days of even number first: the second sees the first's prices."""
+    path = scratch(spark)
+    rows = event_quotes(spark, sf_dir)
+    for odd in (0, 1):
+        number = store.append_quotes(spark, path, rows.filter(F.col("batch_id") % 2 == odd).drop("batch_id"))
+        store.snapshot(spark, path, number)
+    return store.history(spark, path).select("batch_id", "ordinal", "symbol", "price", "previous_price", "price_change", "percent_change")
+
+
+@query(f"""WITH {FEED} SELECT symbol AS symbol_key, arg_max(price, ordinal) AS price FROM feed WHERE ordinal % 5 <> 0 AND ordinal % 7 <> 0 GROUP BY symbol""")
+def history_blanks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last saved price of each symbol in a history with blank symbols, blank prices and symbols in other letters."""
+    n = F.col("ordinal")
+    symbol = F.when(n % 5 == 0, F.lit(" ")).otherwise(F.concat(F.lit(" "), F.lower("symbol")))
+    rows = event_quotes(spark, sf_dir).withColumns({"symbol": symbol, "price": F.when(n % 7 != 0, F.col("price"))})
+    return observe.latest(rows)
+
+
+@query(f"""WITH {FEED}, given AS (SELECT ordinal, price, CASE ordinal % 3 WHEN 0 THEN CAST(0 AS DECIMAL(18,2)) WHEN 1 THEN CAST(2.50 AS DECIMAL(18,2)) END AS previous_price,
+  cents AS pc, CAST(CASE ordinal % 3 WHEN 0 THEN 0 WHEN 1 THEN 250 END AS HUGEINT) AS vc FROM feed)
+SELECT ordinal, CAST(price - previous_price AS DECIMAL(19,6)) AS price_change, {PERCENT} AS percent_change FROM given""")
+def zero_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes from a previous price of zero (no percentage), of something, and from none."""
+    previous = F.when(F.col("ordinal") % 3 == 0, F.lit("0")).when(F.col("ordinal") % 3 == 1, F.lit("2.5")).cast(MONEY)
+    return observe.compared(event_quotes(spark, sf_dir).withColumn("previous_price", previous)).select("ordinal", "price_change", "percent_change")
+
+
+@query(f"""WITH {FEED}
+SELECT ordinal, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS fetched_at_utc, symbol, {plain_sql('price')} AS price,
+  '' AS previous_price, '' AS price_change, '' AS percent_change, '' AS run_summary FROM feed""")
+def quote_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw quotes, which no one has observed, as text rows."""
+    rows = event_quotes(spark, sf_dir).select("symbol", "price", "fetched_at_utc", F.col("ordinal").alias("volume"))
+    shown = store.text_rows(rows)
+    return shown.select(F.col("volume").cast("long").alias("ordinal"), "fetched_at_utc", "symbol", "price", "previous_price", "price_change", "percent_change", "run_summary")
+
+
+@query(f"""WITH {REPLAY} SELECT ordinal AS volume, row_number() OVER (ORDER BY batch_id, ordinal) - 1 AS ordinal, symbol, CAST(price AS DECIMAL(18,6)) AS price,
+  CAST(previous_price AS DECIMAL(18,6)) AS previous_price, price_change, percent_change, 'day "' || batch_id || '",' || chr(10) || 'closed' AS run_summary FROM observed""")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All observations exported as CSV, quotes and line breaks in their summaries, and read back by name."""
+    """All observations exported as CSV, quotes and line breaks in their summaries, and read back by name, in their order."""
     path = scratch(spark)
     seen = observe.replay(event_quotes(spark, sf_dir)).withColumns({
         "volume": F.col("ordinal"), "run_summary": F.concat(F.lit('day "'), F.col("batch_id").cast("string"), F.lit('",\nclosed')),
     })
     store.export_csv(store.aligned(seen), path)
-    return store.import_csv(spark, path).select("volume", "symbol", "price", "previous_price", "price_change", "percent_change", "run_summary")
+    return store.import_csv(spark, path).select("volume", "ordinal", "symbol", "price", "previous_price", "price_change", "percent_change", "run_summary")
 
 
 @query(f"""WITH {REPLAY}, lined AS (

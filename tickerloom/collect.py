@@ -1,6 +1,6 @@
 """One run: choose symbols, read quotes, observe them, summarise, store.  Everything that can fail comes before the only write.
 
-    python -m tickerloom.collect IBM KO --store /data/quotes
+    python -m tickerloom.collect IBM KO --table /data/quotes
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import PythonException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from tickerloom.functions import text
 from tickerloom.operators import observe, report, store
 from tickerloom.plans import symbols as plans
 from tickerloom.schema import DEFAULT_SYMBOLS
+from tickerloom.session import fixed
 from tickerloom.sources import feed, quotes
 
 #: symbols -> responses, as `tickerloom.sources.quotes.parse` reads them.
@@ -38,10 +40,6 @@ class Run:
     summary: str
 
 
-def next_batch(history: DataFrame) -> int:
-    return (history.agg(F.max("batch_id")).first()[0] or 0) + 1
-
-
 def run(
     spark: SparkSession,
     symbols: Sequence[str] | None,
@@ -68,22 +66,21 @@ def run(
         raise ValueError("at least one symbol is required")
     for symbol in symbols:
         feed.market_symbol(symbol)
-    # Read once: every later step sees the same responses.  Their number is that of the symbols asked for.
-    responses = spark.createDataFrame(source(spark, symbols).collect(), feed.QuoteFeed({}).schema())
+    # Requested once: every later step sees the same responses.
+    responses = fixed(source(spark, symbols))
     found = store.numbered(quotes.strict(quotes.parse(responses)).join(_order(spark, symbols), "symbol", "left"), F.col("_pos").asc_nulls_last(), "symbol").drop("_pos")
-    history = store.history(spark, path)
-    batch = next_batch(history) if batch_id is None else batch_id
-    seen = observe.observe(found, observe.latest(history.filter(F.col("batch_id") < batch)))
+    batch = store.reserve(spark, path) if batch_id is None else batch_id
+    # What is stored must not be computed from the directory it goes to.
+    seen = fixed(observe.observe(found, store.latest_before(spark, path, batch)))
     requested = spark.createDataFrame(list(enumerate(symbols)), "pos long, symbol string")
     missing = [row["symbol"] for row in observe.skipped(requested, found).orderBy("pos").collect()]
     summary = ""
     if summarizer is not None and not seen.isEmpty():
         lines = seen.agg(report.joined(report.summary_line(), F.col("ordinal")).alias("lines")).first()["lines"]
         summary = summarizer(report.summary_prompt(lines, request, plan))
-    # What is stored must not be computed from the directory it goes to.
-    rows = spark.createDataFrame(seen.collect(), seen.schema)
-    store.append(spark, path, rows, batch, summary)
-    return Run(batch, rows, missing, plan, summary)
+    store.append(spark, path, seen, batch, summary)
+    store.snapshot(spark, path, batch)
+    return Run(batch, seen, missing, plan, summary)
 
 
 def _order(spark: SparkSession, symbols: Sequence[str]) -> DataFrame:
@@ -97,13 +94,21 @@ def collected(runs: Sequence[Run]) -> DataFrame:
     return reduce(DataFrame.unionByName, [r.observations for r in runs])
 
 
+def reason(error: Exception) -> str:
+    """What went wrong, in a line: of an error inside Spark, its own message without the stack."""
+    lines = [line.strip() for line in str(error).splitlines() if line.strip() and not line.lstrip().startswith(("at ", "File ", "Traceback", "=="))]
+    if isinstance(error, PythonException):
+        return next((line for line in reversed(lines) if "Error" in line or "Exception" in line), lines[0])
+    return lines[0] if lines else type(error).__name__
+
+
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, source: Source = network_source, analyst=None) -> int:
     parser = argparse.ArgumentParser(description="Collect delayed stock quotes and store them.")
     parser.add_argument("symbols", nargs="*")
-    parser.add_argument("--store", "-t", default="data/quotes")
+    parser.add_argument("--table", "--store", "-t", dest="store", default="data/quotes")
     parser.add_argument("--request", "-r")
     parser.add_argument("--model", "-m")
-    parser.add_argument("--base-url")
+    parser.add_argument("--ollama-url", "--base-url", dest="base_url")
     given = parser.parse_args(argv)
     from tickerloom.session import session
 
@@ -115,8 +120,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, s
     planner, summarizer = (analyst.plan, analyst.summarize) if given.request else (None, None)
     try:
         done = run(spark, given.symbols, given.store, source=source, request=given.request, planner=planner, summarizer=summarizer)
-    except (OSError, ValueError) as error:
-        print(f"Stock price collection failed: {error}", file=sys.stderr)
+    except (OSError, ValueError, SparkRuntimeException, PythonException) as error:
+        # A row that cannot be read and a request that fails are raised inside Spark.
+        print(f"Stock price collection failed: {reason(error)}", file=sys.stderr)
         return 1
     if done.plan:
         print(f"Plan: {', '.join(done.plan[0])}")
@@ -124,8 +130,9 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, s
             print(done.plan[1])
     if done.skipped:
         print(f"Skipped unsupported symbols: {', '.join(done.skipped)}")
-    print(f"Added {done.observations.count()} quote rows to {given.store}")
-    report.table(done.observations).orderBy("ordinal").drop("ordinal").show(1000, truncate=False)
+    count = done.observations.count()
+    print(f"Added {count} quote rows to {given.store}")
+    report.table(done.observations).orderBy("ordinal").drop("ordinal").show(count, truncate=False)
     if done.summary:
         print(f"Summary: {done.summary}")
     return 0

@@ -15,13 +15,12 @@ WHOLE = r"\A[+-]?[0-9]+\z"
 
 def decimal(text: Column) -> Column:
     """A required number: null where the text is none."""
-    clean = strip(text)
-    return F.when(clean.rlike(NUMBER), clean.try_cast(PRICE))
+    return clean_decimal(strip(text))
 
 
 def missing(text: Column) -> Column:
     """Blank or N/D, or no text at all."""
-    return F.coalesce(strip(text).isin(*MISSING), F.lit(True))
+    return clean_missing(strip(text))
 
 
 def optional_decimal(text: Column) -> Column:
@@ -29,8 +28,22 @@ def optional_decimal(text: Column) -> Column:
 
 
 def optional_whole(text: Column) -> Column:
-    clean = strip(text)
-    return F.when(~missing(text) & clean.rlike(WHOLE), clean.try_cast("bigint"))
+    return F.when(~missing(text), clean_whole(strip(text)))
+
+
+# The same of text that is stripped already; what is missing is no number either.
+
+
+def clean_decimal(clean: Column) -> Column:
+    return F.when(clean.rlike(NUMBER), clean.try_cast(PRICE))
+
+
+def clean_missing(clean: Column) -> Column:
+    return F.coalesce(clean.isin(*MISSING), F.lit(True))
+
+
+def clean_whole(clean: Column) -> Column:
+    return F.when(clean.rlike(WHOLE), clean.try_cast("bigint"))
 
 
 def change(price: Column, previous: Column) -> Column:

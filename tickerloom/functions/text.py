@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed patterns: Unicode white space with the four separators 1c-1f, and every line break str.splitlines knows.
-STRIP = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: All white space that str.strip takes off.
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+# Fixed patterns: every line break str.splitlines knows, and tickers.
 LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TICKER = r"\A[A-Z][A-Z0-9-]{0,5}\z"
 MISSING = ("", "N/D")
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def folded(text: Column) -> Column:
@@ -48,11 +49,6 @@ def or_na(text: Column) -> Column:
     return F.coalesce(F.nullif(text, F.lit("")), F.lit("n/a"))
 
 
-def base_url(url: Column) -> Column:
-    """A URL without trailing slashes."""
-    return F.rtrim(url, F.lit("/"))
-
-
 def iso_timestamp(ts: Column) -> Column:
     """ISO 8601 with offset; microseconds only where there are any."""
     micros = F.date_format(ts, "SSSSSS")

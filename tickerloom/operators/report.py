@@ -6,32 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions import numbers, text
-from tickerloom.schema import MAX_PLAN_SYMBOLS
+from tickerloom.schema import MAX_PLAN_SYMBOLS, SUPPORTED
 
-PLANNING = """Pick US-listed ticker symbols for a tool that collects delayed stock prices.
+# What the plan parser and the reader of a report need is said here; the JSON keys and the lines of rows are fixed.
+PLANNING = """Task: turn a request into the tickers whose delayed prices will be looked up.
 
-Answer with JSON only, shaped like this:
+Reply: one JSON object, nothing around it
 {"symbols":["TICKER"],"rationale":"short reason"}
+where "symbols" lists between 1 and %d strings, most important first, each a ticker of a US exchange as it is traded (letters in capitals, no ".US" or other
+ending), and "rationale" is a phrase. A string that is not a real ticker is thrown away. If the request names an industry instead of companies, answer with
+its best-known, most traded ones.%s
 
-- Only tickers that trade on NYSE or NASDAQ, 1 to %d of them, in capitals and without exchange suffix.
-- The list holds tickers alone: no sector names, no comments, nothing made up.
-- For a sector or category, take large and liquid companies.
-
-The request: %s
+Request: %s
 """
-SUMMARY = """Describe this collection of stock prices in two short sentences.
-Name the largest move if there are previous prices. Give no financial advice.
+KNOWN = " For %s the feed has %s."
+SUMMARY = """These lines are the outcome of one look-up of stock prices, a line for each stock. Tell a reader in at most two sentences what stands out,
+starting with the stock that moved most if any line has a previous price. State facts from the lines; advise nothing.
 
-Request: %s
-Plan: %s
-Rows:
+Asked for: %s
+Chosen: %s
+Lines:
 %s
 """
-NO_REQUEST, NO_PLAN = "None was given in words.", "No plan was used."
+NO_REQUEST, NO_PLAN = "the stocks below, by name", "by the user"
 
 
 def planning_prompt(request: str) -> str:
-    return PLANNING % (MAX_PLAN_SYMBOLS, request)
+    known = "".join(KNOWN % (sector, ", ".join(tickers)) for sector, tickers in SUPPORTED.items())
+    return PLANNING % (MAX_PLAN_SYMBOLS, known, request)
 
 
 def summary_line() -> Column:
@@ -51,10 +53,18 @@ def joined(lines: Column, pos: Column, separator: str = "\n") -> Column:
 
 
 def summary_lines(observations: DataFrame, *by: str) -> DataFrame:
-    """by, lines: the summary lines of each group in order of ordinal.  A group is a report: as long as what is shown."""
+    """by, lines: the summary lines of each group in order of ordinal, as one text.
+
+    A group is a report that a reader or a model gets, so it has to fit one row; `report_lines` has the same lines as rows, for groups of any size.
+    """
     return observations.groupBy(*by).agg(joined(summary_line(), F.col("ordinal")).alias("lines"))
 
 
+def report_lines(observations: DataFrame, *by: str) -> DataFrame:
+    """by, ordinal, line: the summary lines as rows."""
+    return observations.select(*by, "ordinal", summary_line().alias("line"))
+
+
 def summary_prompt(lines: str, request: str | None, plan: tuple[list[str], str] | None) -> str:
     shown = f"Symbols: {', '.join(plan[0])}. Rationale: {plan[1]}" if plan else NO_PLAN
     return SUMMARY % (request or NO_REQUEST, shown, lines)

@@ -17,6 +17,8 @@ FEED_COLUMNS = ("Symbol", "Date", "Time", "Open", "High", "Low", "Close", "Volum
 CURRENCY, SOURCE = "USD", "Stooq"
 DEFAULT_SYMBOLS = ("IBM", "KO", "JPM", "WMT", "XOM")
 MAX_PLAN_SYMBOLS = 15
+# Tickers that the feed is known to have, of a sector whose names are often guessed wrong.
+SUPPORTED = {"uranium": ("CCJ", "UEC", "UUUU", "NXE", "URA")}
 
 QUOTE = T.StructType([
     T.StructField("fetched_at_utc", T.TimestampType()),
@@ -34,7 +36,7 @@ QUOTE = T.StructType([
     T.StructField("source_url", T.StringType()),
 ])
 
-#: What the store keeps: the exported columns less the run summary (one a batch, in its own table), plus the identity of a row.
+#: What the store keeps: the exported columns, plus the identity of a row.
 STORED = T.StructType([
     *QUOTE.fields,
     T.StructField("previous_price", PRICE),

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -41,11 +41,20 @@ def ship(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir; where unset, a local one of our own)."""
+    """A new path in the folder that all executors share: spark.checkpoint.dir; where unset, a local one of our own, which a cluster refuses."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a cluster needs a folder that all executors share")
         own = tempfile.mkdtemp(prefix="tickerloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(own)
         found = spark.sparkContext.getCheckpointDir()
     return f"{found.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def fixed(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder: every reader sees the same rows, whatever they came from."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -38,36 +38,38 @@ def parse(responses: DataFrame) -> DataFrame:
 
     status: ok; no_data (a close of N/D; such rows are no quotes); bad_price or bad_number (no number where one belongs).
     A first line with a field `Symbol` is a header and binds columns by name; without one all lines are data in the usual order.
+    Lines are cut into fields once, inside what is exploded: afterwards they are a plain column, and so are the fields' places, found once a response.
     """
-    rows = responses.withColumn("_lines", text.lines(F.col("body")))
-    rows = rows.withColumn("_head", fields(F.try_element_at("_lines", F.lit(1))))
-    rows = rows.withColumn("_named", F.coalesce(F.array_contains("_head", "Symbol"), F.lit(False)))
-    data = F.when(F.col("_named"), F.slice("_lines", 2, 1 << 30)).otherwise(F.col("_lines"))
-    keep = ["response_id", "requested", "fetched_at_utc", "source_url", "_head", "_named"]
-    rows = rows.select(*keep, F.posexplode(data).alias("line", "_text")).withColumn("_row", fields(F.col("_text")))
-
-    def field(name: str) -> Column:
-        place = F.when(F.col("_named"), F.array_position("_head", name)).otherwise(F.lit(FEED_COLUMNS.index(name) + 1))
-        return F.when(place > 0, F.try_element_at("_row", F.greatest(place, F.lit(1)).cast("int")))
-
-    rows = rows.select("response_id", "line", "requested", "fetched_at_utc", "source_url", *[field(n).alias(f"_raw_{n}") for n in FEED_COLUMNS])
-    market, close = text.folded(F.coalesce("_raw_Symbol", F.lit(""))), text.strip(F.coalesce("_raw_Close", F.lit("")))
-    rows = rows.withColumns({"market_symbol": market, "_close": close})
+
+    def places(head: Column) -> Column:
+        """Where the fields are, 0 where not at all, and last whether there is a header."""
+        named = F.coalesce(F.array_contains(head, "Symbol"), F.lit(False))
+        usual = F.array(*[F.lit(k + 1).cast("long") for k in range(len(FEED_COLUMNS))], F.lit(0).cast("long"))
+        return F.when(named, F.array(*[F.array_position(head, name) for name in FEED_COLUMNS], F.lit(1).cast("long"))).otherwise(usual)
+
+    # A lambda over an array of one binds its value, so that lines are not cut again for the header, nor places found for each line.
+    def records(lines: Column) -> Column:
+        return F.transform(F.array(places(F.try_element_at(lines, F.lit(1)))), lambda at: F.transform(lines, lambda row, k: F.struct(row.alias("row"), at.alias("at"), k.alias("k"))))
+
+    cut = F.array(F.transform(text.lines(F.col("body")), fields))
+    found = F.explode(F.flatten(F.flatten(F.transform(cut, records)))).alias("_f")
+    rows = responses.select("response_id", "requested", "fetched_at_utc", "source_url", found)
+    line = F.col("_f.k") - F.get("_f.at", F.lit(len(FEED_COLUMNS)))
+    field = {name: F.when(F.get("_f.at", F.lit(k)) > 0, F.try_element_at("_f.row", F.get("_f.at", F.lit(k)).cast("int"))) for k, name in enumerate(FEED_COLUMNS)}
+    rows = rows.select("response_id", "requested", "fetched_at_utc", "source_url", line.cast("int").alias("line"), *[text.strip(field[n]).alias(n) for n in FEED_COLUMNS])
+    rows = rows.filter("line >= 0")
+    close, numeric = F.coalesce("Close", F.lit("")), ("Open", "High", "Low")
     rows = rows.withColumns({
-        "price": numbers.decimal(F.col("_close")),
-        "open": numbers.optional_decimal(F.col("_raw_Open")),
-        "high": numbers.optional_decimal(F.col("_raw_High")),
-        "low": numbers.optional_decimal(F.col("_raw_Low")),
-        "volume": numbers.optional_whole(F.col("_raw_Volume")),
+        "market_symbol": F.upper(F.coalesce("Symbol", F.lit(""))), "price": numbers.clean_decimal(close),
+        **{f"_{name}": numbers.clean_decimal(F.col(name)) for name in numeric}, "_Volume": numbers.clean_whole(F.col("Volume")),
     })
-    unread = [~numbers.missing(F.col(f"_raw_{raw}")) & F.col(name).isNull() for raw, name in (("Open", "open"), ("High", "high"), ("Low", "low"), ("Volume", "volume"))]
-    bad_number = unread[0] | unread[1] | unread[2] | unread[3]
-    status = F.when(F.col("_close") == "N/D", "no_data").when(F.col("price").isNull(), "bad_price").when(bad_number, "bad_number").otherwise("ok")
+    bad = [~numbers.clean_missing(F.col(name)) & F.col(f"_{name}").isNull() for name in (*numeric, "Volume")]
+    status = F.when(close == "N/D", "no_data").when(F.col("price").isNull(), "bad_price").when(bad[0] | bad[1] | bad[2] | bad[3], "bad_number").otherwise("ok")
     return rows.select(
         "response_id", "line", status.alias("status"), "fetched_at_utc",
         alias(F.col("market_symbol"), F.col("requested")).alias("symbol"), "market_symbol", "price", F.lit(CURRENCY).alias("currency"),
-        F.coalesce("_raw_Date", F.lit("")).alias("quote_date"), F.coalesce("_raw_Time", F.lit("")).alias("quote_time"),
-        "open", "high", "low", "volume", F.lit(SOURCE).alias("source"), "source_url",
+        F.coalesce("Date", F.lit("")).alias("quote_date"), F.coalesce("Time", F.lit("")).alias("quote_time"),
+        *[F.col(f"_{name}").alias(name.lower()) for name in (*numeric, "Volume")], F.lit(SOURCE).alias("source"), "source_url",
     )
 
 
