@@ -26,6 +26,8 @@ from tickerloom.llm.common import held_out, read, staged
 TEXTS, PIECE, DICTIONARY = 400, 1000, 110_000
 #: Languages that a worker holds the dictionaries of at once.
 GROUP = 64
+#: Parts of a language's rows that are ranked apart.
+PARTS = 64
 BLOCK = 4096
 #: Levels of zstandard, of texts up to SHORT bytes in the second place.
 LEVELS, SHORT_LEVELS, SHORT = (6,), (3, 12), 160
@@ -49,9 +51,13 @@ def learned(docs: DataFrame) -> DataFrame:
     # Of a long text, a piece from its middle as good as any.
     piece = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2 - PIECE / 2).cast("int")), F.lit(PIECE))
     rows = rows.select("lang", draw.alias("draw"), piece.alias("piece"))
-    # Spark keeps the least TEXTS of a language ahead of the shuffle; equal rows stand next to each other and count once.
-    least = Window.partitionBy("lang").orderBy("draw", "piece")
-    rows = rows.withColumn("rank", F.dense_rank().over(least)).filter(F.col("rank") <= TEXTS).groupBy("lang", "draw", "piece").agg(F.lit(1).alias("one"))
+    # The least TEXTS draws of a language, without the texts: first in each of PARTS, so that a language with most rows is no task's alone.
+    draws = rows.groupBy("lang", "draw").agg(F.lit(1).alias("one")).withColumn("part", F.pmod(F.xxhash64("draw"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        draws = draws.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("draw"))).filter(F.col("rank") <= TEXTS)
+    chosen = staged(draws.select(F.col("lang").alias("_lang"), F.col("draw").alias("_draw")))
+    # Written, so that Spark knows its size; equal rows count once.
+    rows = rows.join(chosen, (F.col("lang") == F.col("_lang")) & (F.col("draw") == F.col("_draw"))).groupBy("lang", "draw").agg(F.min("piece").alias("piece"))
 
     @F.pandas_udf("binary")
     def joined(pieces):
