@@ -38,26 +38,28 @@ def parse(responses: DataFrame) -> DataFrame:
 
     status: ok; no_data (a close of N/D; such rows are no quotes); bad_price or bad_number (no number where one belongs).
     A first line with a field `Symbol` is a header and binds columns by name; without one all lines are data in the usual order.
-    Lines are cut into fields once, inside what is exploded: afterwards they are a plain column, and so are the fields' places, found once a response.
+    Lines are cut into fields, the fields' places found and their text stripped inside what is exploded: once each, and plain columns afterwards, which a
+    filter on the status can repeat at no cost.
     """
 
     def places(head: Column) -> Column:
         """Where the fields are, 0 where not at all, and last whether there is a header."""
         named = F.coalesce(F.array_contains(head, "Symbol"), F.lit(False))
-        usual = F.array(*[F.lit(k + 1).cast("long") for k in range(len(FEED_COLUMNS))], F.lit(0).cast("long"))
-        return F.when(named, F.array(*[F.array_position(head, name) for name in FEED_COLUMNS], F.lit(1).cast("long"))).otherwise(usual)
+        usual = F.array(*[F.lit(k + 1) for k in range(len(FEED_COLUMNS))], F.lit(0))
+        return F.when(named, F.array(*[F.array_position(head, name).cast("int") for name in FEED_COLUMNS], F.lit(1))).otherwise(usual)
+
+    def record(row: Column, at: Column, k: Column) -> Column:
+        picked = [text.strip(F.get(row, F.get(at, F.lit(n)) - 1)).alias(name) for n, name in enumerate(FEED_COLUMNS)]
+        return F.struct((k - F.get(at, F.lit(len(FEED_COLUMNS)))).alias("line"), *picked)
 
     # A lambda over an array of one binds its value, so that lines are not cut again for the header, nor places found for each line.
     def records(lines: Column) -> Column:
-        return F.transform(F.array(places(F.try_element_at(lines, F.lit(1)))), lambda at: F.transform(lines, lambda row, k: F.struct(row.alias("row"), at.alias("at"), k.alias("k"))))
+        return F.transform(F.array(places(F.try_element_at(lines, F.lit(1)))), lambda at: F.transform(lines, lambda row, k: record(row, at, k)))
 
     cut = F.array(F.transform(text.lines(F.col("body")), fields))
     found = F.explode(F.flatten(F.flatten(F.transform(cut, records)))).alias("_f")
     rows = responses.select("response_id", "requested", "fetched_at_utc", "source_url", found)
-    line = F.col("_f.k") - F.get("_f.at", F.lit(len(FEED_COLUMNS)))
-    field = {name: F.when(F.get("_f.at", F.lit(k)) > 0, F.try_element_at("_f.row", F.get("_f.at", F.lit(k)).cast("int"))) for k, name in enumerate(FEED_COLUMNS)}
-    rows = rows.select("response_id", "requested", "fetched_at_utc", "source_url", line.cast("int").alias("line"), *[text.strip(field[n]).alias(n) for n in FEED_COLUMNS])
-    rows = rows.filter("line >= 0")
+    rows = rows.filter("_f.line >= 0").select("response_id", "requested", "fetched_at_utc", "source_url", "_f.*")
     close, numeric = F.coalesce("Close", F.lit("")), ("Open", "High", "Low")
     rows = rows.withColumns({
         "market_symbol": F.upper(F.coalesce("Symbol", F.lit(""))), "price": numbers.clean_decimal(close),
