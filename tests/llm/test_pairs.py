@@ -210,6 +210,42 @@ def test_recall_without_structure_beyond_the_least_window(spark):
     assert recall(spark, v / np.linalg.norm(v, axis=1, keepdims=True), 500) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["cluster", "clusters", "far"])
+def test_recall_in_crowded_cells(spark, kind):
+    """A third of all rows within a millionth of each other, twenty such clusters, and one vector that is far off all others."""
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(12_000, 16))
+    if kind == "cluster":
+        v[::3] = v[0] + 1e-6 * rng.normal(size=(4_000, 16))
+    elif kind == "clusters":
+        v = v[rng.integers(0, 20, 12_000)] + 1e-6 * rng.normal(size=(12_000, 16))
+    else:
+        v[1] = 1e30
+    assert recall(spark, v, 100) >= 0.9
+
+
+def test_copies_are_exact(spark):
+    """A third of all rows equal, and sizes beyond any window: the smallest vec_ids of the copies come first, at every query."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(9_000, 8)).astype(np.float32).astype(float)
+    v[5::3] = v[5]
+    v[3_000] = v[5]
+    rows = [(k, x, 0) for k, x in enumerate(v.tolist())]
+    got = nearest.search(vectors_of(spark, rows + rows[:3_000]), F.col("vec_id") % 500 == 0).collect()
+    asked = [q for q in range(0, 9_000, 500) if (v[q] == v[5]).all()]
+    assert 3_000 in asked and len(asked) > 5
+    copies = np.flatnonzero((v == v[5]).all(1)).tolist()
+    for q in asked:
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [c for c in copies if c != q][:10]
+
+
+def test_one_vec_id_of_many_vectors(spark):
+    """It counts once, at its least distance, and leaves the other places to others."""
+    rows = [(0, [0.0, 1.0], 0)] + [(1, [0.001 * k, 1.0], 0) for k in range(1, 200)] + [(k, [float(k), 1.0], 0) for k in range(2, 30)]
+    got = nearest.search(vectors_of(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, pytest.approx(0.001))] + [(k, float(k)) for k in range(2, 11)]
+
+
 def test_odd_vectors(spark):
     one = [1.0, 2.0]
     rows = [(0, one, 1), (1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [1.0, None], 1), (5, [1.0, float("nan")], 1), (6, [float("inf"), 1.0], None), (7, [1.0, 4.0], 1)]
